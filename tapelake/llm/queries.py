@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import exact_dedup, mixture, shards
+from tapelake.llm import chat, exact_dedup, mixture, packing, quality, shards, topk
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,36 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    ranker = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, ranker, 0.3).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), capacity=1024)
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    events = turns.unionByName(added).select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    return chat.digests(chat.format_chats(events))
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=5, every=50, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_packing": op2_packing,
     "op4_shards": op4_shards,
+    "op7_chat": op7_chat,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixture": op9_mixture,
+    "op10_topk": op10_topk,
 }
 
 ORACLES: dict[str, str] = {
@@ -53,4 +79,20 @@ ORACLES: dict[str, str] = {
         j AS (SELECT p.doc_id, p.size, t.source_size, t.target, p.k, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
               FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
         SELECT doc_id, size, source_size, target, (size * (floor(rate * (k + 1) + u) - floor(rate * k + u)))::BIGINT AS taken FROM j""",
+    "op7_chat": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length('<turn >' || chr(10) || '</turn>' || chr(10)) + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))
+                   + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')))::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id""",
+    "op10_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s
+        QUALIFY rank <= 5""",
 }
