@@ -40,8 +40,11 @@ def digest_state(stream: DataFrame, checkpoint: str, out: str) -> None:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass",)}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # a store leaves the executor's disk once its task has committed to the shared checkpoint
+    how = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.unloadOnCommit": "true"}
+    before = {k: spark.conf.get(k, None) for k in how}
+    for k, v in how.items():
+        spark.conf.set(k, v)
     try:
         entries.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
