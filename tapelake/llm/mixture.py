@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelake.llm.common import pick, ranked, words_count
+from tapelake.llm.common import pick, ranked, words_count, written
 
 SEED = 20240609
 
@@ -51,4 +51,5 @@ def copies(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    return copies(pick(docs, "doc_id", "source", "text").select("doc_id", "source", words_count(F.col("text")).alias("size")), **how)
+    sized = pick(docs, "doc_id", "source", "text").select("doc_id", "source", words_count(F.col("text")).alias("size"))
+    return copies(written(sized, "sizes"), **how)  # texts are read once; sums, range bounds and rows use the sizes
