@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import chat, exact_dedup, mixture, packing, quality, shards, simhash, topk
+from tapelake.llm import chat, exact_dedup, mixture, packing, passages, quality, shards, simhash, topk
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(documents(spark, sf_dir), window=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.shard_documents(documents(spark, sf_dir), 16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -59,6 +64,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_passages": op3_passages,
     "op4_shards": op4_shards,
     "op5_simhash": op5_simhash,
     "op7_chat": op7_chat,
