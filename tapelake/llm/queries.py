@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapelake.llm import chat, exact_dedup, mixture, packing, passages, quality, shards, simhash, topk
+from tapelake.llm import chat, exact_dedup, mixture, packing, passages, quality, shards, simhash, suffixes, topk
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_bytes(documents(spark, sf_dir), window=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_passages": op3_passages,
     "op4_shards": op4_shards,
     "op5_simhash": op5_simhash,
+    "op6_suffixes": op6_suffixes,
     "op7_chat": op7_chat,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixture": op9_mixture,
