@@ -302,22 +302,69 @@ def links(nodes: DataFrame, radius: int, keys: list[np.ndarray], lanes: int) ->
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long")
 
 
-def near_components(prints: DataFrame, radius: int, lanes: int = 1, differ: float | None = None, recall: float = 0.9) -> DataFrame:
-    """doc_id, fp, component_id for the written table of prints (doc_id, fp)."""
+def alike(edges: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The edges (u, v) whose documents' shingle sets have at least the Jaccard similarity."""
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column("text"):
+                parts = list(shingle_hashes(text.as_py() or "", shingle))
+                found.append(np.unique(np.concatenate(parts)).tobytes() if parts else b"")
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "hashes"])
+
+    texts = pick(docs, "doc_id", "text").join(ends, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").cast("long").alias("node"), "text")
+    known = written(texts.mapInArrow(sets, "node long, hashes binary"), "sets")
+    a = known.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+    b = known.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                p, q = np.frombuffer(x, U), np.frombuffer(y, U)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return edges.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(near, "u long, v long")
+
+
+def near_components(prints: DataFrame, radius: int, lanes: int = 1, differ: float | None = None, recall: float = 0.9, check=None) -> DataFrame:
+    """doc_id, fp, component_id for the written table of prints (doc_id, fp); check: from links to those that count."""
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     linkable = nodes.where("node IS NOT NULL").select("node", "fp")
     n = linkable.count()
     keys = block_keys(n, radius, lanes * 64) if differ is None else sampled_keys(n, lanes * 64, differ, recall)
-    roots = components(links(linkable, radius, keys, lanes))
+    found = links(linkable, radius, keys, lanes)
+    roots = components(check(written(found.distinct(), "links")) if check else found)
     named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 4, radius: int = 4, lanes: int = 1, differ: float | None = None, recall: float = 0.9) -> DataFrame:
-    """doc_id, fp, component_id of every row of docs."""
-    return near_components(written(fingerprints(docs, shingle, lanes), "prints"), radius, lanes, differ, recall)
+def near_dedup(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """doc_id, fp, component_id of every row of docs: links of at most `radius` of 64 bits, none lost."""
+    return near_components(written(fingerprints(docs, shingle), "prints"), radius)
 
 
 def differing_share(similarity: float) -> float:
     """Expected share of differing bits of two shingle sets of a Jaccard similarity: the angle of their vectors over pi."""
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, slack: float = 2.0, recall: float = 0.97) -> DataFrame:
+    """doc_id, fp, component_id: groups of documents of a Jaccard similarity of shingles.
+
+    Wide fingerprints find the candidates: the radius is the expected distance at `similarity` plus `slack` standard
+    deviations, sampled keys find a pair at `similarity` with `recall`. Each link is then checked on the shingle sets.
+    """
+    share, bits = differing_share(similarity), lanes * 64
+    radius = int(share * bits + slack * math.sqrt(bits * share * (1 - share)))
+    return near_components(written(fingerprints(docs, shingle, lanes), "prints"), radius, lanes, share, recall, lambda edges: alike(edges, docs, shingle, similarity))
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs that stay, all columns: of each group the smallest doc_id, and rows without a doc_id."""
+    gone = similar_groups(docs, **how).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
