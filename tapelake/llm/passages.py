@@ -30,7 +30,7 @@ from tapelake.llm.rolling import BASES, U, prefix, stretches, word_hashes
 WINDOW = 20
 #: A perfect difference set: every residue modulo 13 is a difference of two of these.
 PERIOD, COVER = 13, (0, 1, 3, 9)
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 
 
