@@ -29,7 +29,10 @@ FUNDING_KEYS = ("estimatedFundingRate", "nextFundingTimestamp")
 SIDE_KEYS = ("endPrice", "levels", "startPrice")
 LEVEL_KEYS = ("price", "quantity")
 TYPES = tuple(DATA_KEYS)
-J = F.col("_j")
+
+
+def _j() -> Column:
+    return F.col("_j")
 
 
 def _json(v: Column) -> Column:
@@ -57,16 +60,16 @@ def _amount_code(text: Column, is_text: Column, zero: bool = False, negative: bo
 
 
 def _field_code(path: str, zero: bool = False, negative: bool = False) -> Column:
-    x = extract.at(J, path)
+    x = extract.at(_j(), path)
     return _amount_code(F.try_variant_get(x, "$", "string"), extract.kind(x) == "STRING", zero, negative)
 
 
 def _amount(path: str) -> Column:
-    return F.try_variant_get(J, path, "string").try_cast(DEC)
+    return F.try_variant_get(_j(), path, "string").try_cast(DEC)
 
 
 def _time_code(path: str, scale: float) -> Column:
-    x = extract.at(J, path)
+    x = extract.at(_j(), path)
     numeric = extract.kind(x).rlike("^(BIGINT|DECIMAL|DOUBLE)")
     value = F.try_variant_get(x, "$", "double") * scale
     return F.when(~F.coalesce(numeric, F.lit(False)) | F.isnan(value) | (value < -62135596800) | (value >= 253402300800), "invalid_timestamp")
@@ -74,7 +77,7 @@ def _time_code(path: str, scale: float) -> Column:
 
 def _levels(side: str) -> Column:
     """array<string>: the JSON of each level, NULL if levels is no array."""
-    return F.from_json(_json(extract.at(J, f"$.data.{side}.levels")), "array<string>")
+    return F.from_json(_json(extract.at(_j(), f"$.data.{side}.levels")), "array<string>")
 
 
 def _level_text(level: Column, name: str) -> Column:
@@ -96,7 +99,7 @@ def _side_code(side: str) -> Column:
         twice = F.when(F.array_contains(earlier, _level_text(x, "price").try_cast(DEC)), "duplicate_level")
         return F.coalesce(shape, _amount_code(_level_text(x, "price"), _is_string(x, "price")), twice, _amount_code(_level_text(x, "quantity"), _is_string(x, "quantity"), zero=True))
 
-    v = extract.at(J, f"$.data.{side}")
+    v = extract.at(_j(), f"$.data.{side}")
     first_bad = F.get(F.filter(F.transform(levels, code), lambda c: c.isNotNull()), 0)
     return F.coalesce(
         F.when(~_is_object(v) | ~_keys_are(v, SIDE_KEYS), "payload_contract"), _field_code(f"$.data.{side}.startPrice"), _field_code(f"$.data.{side}.endPrice"),
@@ -111,21 +114,21 @@ def _side(side: str) -> Column:
 def error_code() -> Column:
     """The first failing check of an event (columns of MARKET_EVENTS and _j, the parsed payload), or NULL."""
     t = F.col("event_type")
-    data = extract.at(J, "$.data")
+    data = extract.at(_j(), "$.data")
     identity = F.when(F.col("id").isNull(), "missing_identity").when(F.col("received_at").isNull(), "invalid_timestamp")
-    root = F.when(t == "orderbook", _keys_are(J, BOOK_KEYS)).otherwise(_keys_are(J, PLAIN_KEYS))
+    root = F.when(t == "orderbook", _keys_are(_j(), BOOK_KEYS)).otherwise(_keys_are(_j(), PLAIN_KEYS))
     head = F.coalesce(
-        F.when(~F.coalesce(t.isin(*TYPES), F.lit(False)), "unsupported_event_type"), F.when(~_is_object(J) | ~root, "payload_contract"),
-        F.when(~(F.try_variant_get(J, "$.topic", "string").eqNullSafe(t) & F.try_variant_get(J, "$.symbol", "string").eqNullSafe(F.col("symbol"))), "identity_mismatch"),
+        F.when(~F.coalesce(t.isin(*TYPES), F.lit(False)), "unsupported_event_type"), F.when(~_is_object(_j()) | ~root, "payload_contract"),
+        F.when(~(F.try_variant_get(_j(), "$.topic", "string").eqNullSafe(t) & F.try_variant_get(_j(), "$.symbol", "string").eqNullSafe(F.col("symbol"))), "identity_mismatch"),
         F.when(~_is_object(data), "payload_contract"),
     )
     shape = lambda kind: F.when(~_keys_are(data, DATA_KEYS[kind]), "payload_contract")
     quote = F.coalesce(shape("ask_bid_price"), _field_code("$.data.bidPrice"), _field_code("$.data.askPrice"), F.when(_amount("$.data.bidPrice") >= _amount("$.data.askPrice"), "crossed_quote"), identity, _field_code("$.data.bidSize", zero=True), _field_code("$.data.askSize", zero=True))
-    nested = extract.at(J, "$.data.fundingRateEstimation")
+    nested = extract.at(_j(), "$.data.fundingRateEstimation")
     funding = F.coalesce(shape("funding_rate_estimation"), F.when(~_is_object(nested) | ~_keys_are(nested, FUNDING_KEYS), "payload_contract"), identity, _field_code("$.data.fundingRateEstimation.estimatedFundingRate", zero=True, negative=True), _time_code("$.data.fundingRateEstimation.nextFundingTimestamp", 1.0))
-    kind = extract.at(J, "$.messageType")
+    kind = extract.at(_j(), "$.messageType")
     message = F.try_variant_get(kind, "$", "string")
-    depth = extract.at(J, "$.depth")
+    depth = extract.at(_j(), "$.depth")
     best_bid, best_ask = F.array_max(F.transform(_side("bid"), lambda x: x["price"])), F.array_min(F.transform(_side("ask"), lambda x: x["price"]))
     snapshot = message == "Snapshot"
     book = F.coalesce(
@@ -165,11 +168,11 @@ def normalize(events: DataFrame, skip_unsupported: bool = False) -> Normalized:
     failed = rows.where("error_code IS NOT NULL")
     if skip_unsupported:
         failed = failed.where("error_code <> 'unsupported_event_type'")
-    next_at = F.timestamp_micros((F.try_variant_get(J, "$.data.fundingRateEstimation.nextFundingTimestamp", "double") * 1e6).cast("bigint"))
+    next_at = F.timestamp_micros((F.try_variant_get(_j(), "$.data.fundingRateEstimation.nextFundingTimestamp", "double") * 1e6).cast("bigint"))
     return Normalized(
         good.where(t == "ask_bid_price").select(*keep, *[_amount(f"$.data.{k}").alias(n) for k, n in (("bidPrice", "bid_price"), ("bidSize", "bid_size"), ("askPrice", "ask_price"), ("askSize", "ask_size"))]),
         good.where(t.isin("mark_price", "spot_price")).select(*keep, F.when(t == "mark_price", "mark").otherwise("spot").alias("price_kind"), F.coalesce(_amount("$.data.markPrice"), _amount("$.data.spotPrice")).alias("price")),
         good.where(t == "funding_rate_estimation").select(*keep, _amount("$.data.fundingRateEstimation.estimatedFundingRate").alias("estimated_rate"), next_at.alias("next_funding_at")),
-        good.where(t == "orderbook").select(*keep, F.try_variant_get(J, "$.messageType", "string").alias("message_type"), F.try_variant_get(J, "$.depth", "smallint").alias("depth"), _amount("$.granularity").alias("granularity"), bids.alias("bids"), asks.alias("asks"), (F.size(bids) + F.size(asks)).cast("short").alias("changed_level_count")),
+        good.where(t == "orderbook").select(*keep, F.try_variant_get(_j(), "$.messageType", "string").alias("message_type"), F.try_variant_get(_j(), "$.depth", "smallint").alias("depth"), _amount("$.granularity").alias("granularity"), bids.alias("bids"), asks.alias("asks"), (F.size(bids) + F.size(asks)).cast("short").alias("changed_level_count")),
         failed.select(F.col("id").alias("raw_event_id"), "received_at", "event_type", F.lit(PIPELINE_VERSION).cast("short").alias("pipeline_version"), "error_code", F.substring(F.concat(F.col("error_code"), F.lit(" in "), F.coalesce(t, F.lit("?"))), 1, 160).alias("error_detail")),
     )

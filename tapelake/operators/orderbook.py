@@ -6,6 +6,7 @@ segments that are folded apart; a symbol is never one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
 
@@ -13,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapelake.schemas import BOOK_STATES
+from tapelake.schemas import BOOK_STATE_NAMES, BOOK_STATES
 
 WAITING, BROKEN, CROSSED = "invalid_waiting_snapshot", "invalid_sequence", "invalid_crossed"
 
@@ -80,12 +81,17 @@ def _plain(x) -> int | None:
     return None if pd.isna(x) else int(x)
 
 
-def _fold(frame: pd.DataFrame, use_local: bool) -> pd.DataFrame:
-    book, out = Book(use_local), []
-    for e in frame.sort_values("place").itertuples(index=False):
-        seen = book.step(e.message_type, e.connection_id, _plain(e.exchange_sequence), _plain(e.local_sequence), e.raw_schema_version == 1, [] if e.bids is None else e.bids, [] if e.asks is None else e.asks)
-        out.append((e.symbol, e.raw_event_id, *seen))
-    return pd.DataFrame(out, columns=[f.name for f in BOOK_STATES])
+def folded(frames: Iterator[pd.DataFrame], use_local: bool) -> Iterator[pd.DataFrame]:
+    """Folds rows that come sorted by symbol, segment and place; one book is held at a time, whatever the batches' borders."""
+    book, held = Book(use_local), None
+    for frame in frames:
+        out = []
+        for e in frame.itertuples(index=False):
+            if (e.symbol, e.segment) != held:
+                book, held = Book(use_local), (e.symbol, e.segment)
+            seen = book.step(e.message_type, e.connection_id, _plain(e.exchange_sequence), _plain(e.local_sequence), e.raw_schema_version == 1, [] if e.bids is None else e.bids, [] if e.asks is None else e.asks)
+            out.append((e.symbol, e.raw_event_id, *seen))
+        yield pd.DataFrame(out, columns=list(BOOK_STATE_NAMES))
 
 
 def segments(events: DataFrame, order: list[str]) -> DataFrame:
@@ -98,8 +104,10 @@ def segments(events: DataFrame, order: list[str]) -> DataFrame:
 def reconstruct(events: DataFrame, order: list[str], use_local_sequence: bool = True, by_segment: bool = True) -> DataFrame:
     """State after each event of ORDERBOOK_EVENTS rows, folded along `order`."""
     cut = segments(events, order)
-    keys = ["symbol", "segment"] if by_segment else ["symbol"]
-    return cut.groupBy(*keys).applyInPandas(lambda frame: _fold(frame, use_local_sequence), BOOK_STATES)
+    if not by_segment:
+        cut = cut.withColumn("segment", F.lit(0).cast("long"))
+    kept = cut.select("symbol", "segment", "place", "raw_event_id", "connection_id", "exchange_sequence", "local_sequence", "raw_schema_version", "message_type", "bids", "asks")
+    return kept.repartition("symbol", "segment").sortWithinPartitions("symbol", "segment", "place").mapInPandas(lambda frames: folded(frames, use_local_sequence), BOOK_STATES)
 
 
 def histogram(states: DataFrame) -> DataFrame:

@@ -1,4 +1,415 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The supplied tables have no market feed; events stand in for a tape: event_id is the id, ts the receipt clock, user_id
+the symbol or connection, event_type the topic, value the price and props.k the sequence.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapelake.functions import classify, extract, text
+from tapelake.operators import admission, archive, backtest, candles, joins, normalize, orderbook, paper, planning, quality, signals
+from tapelake.operators import ordering
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = f(spark, sf_dir)
+            return out.select(*[F.col(n).cast("timestamp_ntz").alias(n) if kind == "timestamp" else F.col(n) for n, kind in out.dtypes])
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with k, the sequence in its properties."""
+    return table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+
+
+def tape_of(df: DataFrame, kind: str | None = None) -> DataFrame:
+    """events under the tape's names: id, received_at, exchange_at, symbol, event_type, value."""
+    rows = df.where(F.col("event_type") == kind) if kind else df
+    return rows.select(F.col("event_id").alias("id"), F.col("ts").alias("received_at"), F.col("ts").alias("exchange_at"), F.col("user_id").alias("symbol"), "event_type", "value", "k")
+
+
+CANDLE_SQL = """SELECT {keys}, date_trunc('{unit}', ts) AS "timestamp", arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low,
+    arg_max(value, event_id) AS close, {volume} AS volume, count(*) AS trade_count FROM (SELECT *, {k} AS k FROM events) WHERE event_type = 'purchase' AND value > 0 GROUP BY ALL"""
+
+
+@query(CANDLE_SQL.format(keys="user_id AS symbol", unit="hour", volume="sum(k)::DOUBLE", k=K))
+def q_candles_hourly(spark, sf_dir):
+    rows = tape_of(events(spark, sf_dir), "purchase")
+    return candles.candles(rows, extract.finite_positive(F.col("value")), F.col("k").cast("double"), "hour")
+
+
+@query(CANDLE_SQL.format(keys="event_type AS symbol", unit="day", volume="CASE WHEN count(*) FILTER (k >= 10) = count(*) THEN sum(k)::DOUBLE END", k=K))
+def q_candle_null_volume(spark, sf_dir):
+    rows = tape_of(events(spark, sf_dir), "purchase").withColumn("symbol", F.col("event_type"))
+    return candles.candles(rows, extract.finite_positive(F.col("value")), F.when(F.col("k") >= 10, F.col("k").cast("double")), "day")
+
+
+@query(f"""SELECT date_trunc('day', ts)::DATE::VARCHAR AS symbol, event_type, count(*) AS events, count(*) FILTER (k < 20) AS missing_exchange_time, count(*) FILTER (k >= 80) AS missing_sequence,
+    round(avg(value), 6) AS avg_latency_ms, max(value) AS max_latency_ms FROM (SELECT *, {K} AS k FROM events) GROUP BY ALL""")
+def q_daily_quality(spark, sf_dir):
+    rows = events(spark, sf_dir).select(F.to_date("ts").cast("string").alias("symbol"), "event_type", F.when(F.col("k") >= 20, F.col("ts")).alias("exchange_at"), F.when(F.col("k") < 80, F.col("k")).alias("sequence"), F.col("value").alias("latency_ms"))
+    return quality.daily_quality(rows).withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events) SELECT count(*) AS events, min(ts) AS first_at, max(ts) AS last_at, count(*) FILTER (ts >= now - INTERVAL 86400 SECOND) AS recent_events,
+    round(avg(value) FILTER (ts >= now - INTERVAL 86400 SECOND), 6) AS recent_latency_ms FROM events, n""")
+def q_status(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    now = rows.agg(F.max("ts").alias("now"))
+    return quality.status(rows.crossJoin(F.broadcast(now)), "ts", F.col("now"), "value", 86_400).withColumn("recent_latency_ms", F.round("recent_latency_ms", 6))
+
+
+@query("SELECT event_id, ts, user_id, value FROM events WHERE event_type IN ('purchase', 'view') AND ts >= TIMESTAMP '2024-01-02' ORDER BY ts, event_id LIMIT 1000")
+def q_replay_scan(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "view") & (F.col("ts") >= F.lit("2024-01-02").cast("timestamp_ntz")))
+    return rows.select("event_id", "ts", "user_id", "value").orderBy("ts", "event_id").limit(1000)
+
+
+@query("SELECT event_id, ts, event_type FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 50) ORDER BY ts, event_id")
+def q_recent_topn(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).orderBy("ts", "event_id")
+
+
+@query("""SELECT user_id, count(*) AS events, coalesce(sum(CASE WHEN p > ts THEN 1 END), 0)::BIGINT AS disorder, round(coalesce(max(CASE WHEN p <= ts THEN epoch(ts) - epoch(p) END), 0), 3) AS largest_gap_s
+    FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) GROUP BY user_id""")
+def q_receipt_gaps(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    rows = rows.withColumn("bad", ordering.violations(rows, ["user_id"], ["event_id"], "ts")).withColumn("gap", ordering.gaps(["user_id"], ["event_id"], "ts"))
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.sum("bad").alias("disorder"), F.round(F.coalesce(F.max("gap"), F.lit(0.0)), 3).alias("largest_gap_s"))
+
+
+@query(f"""SELECT event_type, count(*) AS events, sum((p > x)::INT)::BIGINT AS disorder FROM (SELECT *, lag(x) OVER (PARTITION BY event_type ORDER BY event_id) AS p
+    FROM (SELECT *, ts - to_minutes({K}) AS x FROM events)) GROUP BY event_type""")
+def q_exchange_order(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("x", F.expr("ts - make_interval(0, 0, 0, 0, 0, cast(k as int), 0)"))
+    rows = rows.withColumn("bad", ordering.violations(rows, ["event_type"], ["event_id"], "x"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("bad").alias("disorder"))
+
+
+@query(f"""SELECT event_type, count(*) AS rows, sum((k % 10 <> 0 AND p IS NOT NULL AND k <> p + 1)::INT)::BIGINT AS anomalies
+    FROM (SELECT *, lag(k) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM (SELECT *, {K} AS k FROM events) WHERE k IS NOT NULL) GROUP BY event_type""")
+def q_sequence_anomalies(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    found = ordering.sequence_anomalies(rows, ["event_type"], ["event_id"], "k", F.col("k") % 10 == 0)
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("anomaly").alias("anomalies"))
+
+
+@query(f"""SELECT event_type, count(*) AS rows, count(s) AS with_sequence, CASE WHEN count(s) = 0 THEN 'absent' WHEN count(s) = count(*) THEN 'present' ELSE 'partial' END AS availability
+    FROM (SELECT *, CASE WHEN event_type = 'purchase' THEN NULL WHEN event_type = 'view' AND {K} > 50 THEN NULL ELSE {K} END AS s FROM events) GROUP BY event_type""")
+def q_sequence_availability(spark, sf_dir):
+    t, k = F.col("event_type"), F.col("k")
+    rows = events(spark, sf_dir).withColumn("s", F.when((t == "purchase") | ((t == "view") & (k > 50)), None).otherwise(k))
+    return quality.sequence_availability(rows, ["event_type"], "s")
+
+
+@query("""SELECT event_type, sum((abs(value / p - 1) * 100 >= 50)::INT)::BIGINT AS jumps FROM (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events WHERE value > 0) GROUP BY event_type""")
+def q_price_jumps(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("value > 0")
+    return rows.withColumn("j", ordering.jumps(["event_type"], ["event_id"], "value", 50)).groupBy("event_type").agg(F.sum("j").alias("jumps"))
+
+
+@query("SELECT sum(n - 1)::BIGINT AS duplicate_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_quantity, l_discount, l_returnflag)")
+def q_exact_duplicates(spark, sf_dir):
+    return quality.exact_duplicates(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_discount", "l_returnflag"))
+
+
+@query("SELECT count(*) AS duplicate_groups, coalesce(sum(n - 1), 0)::BIGINT AS extra_rows FROM (SELECT count(*) AS n FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL GROUP BY event_type, user_id, date_trunc('day', ts) HAVING count(*) > 1)")
+def q_logical_duplicates(spark, sf_dir):
+    return quality.logical_duplicates(table(spark, sf_dir, "events"), F.col("event_type"), F.col("user_id"), F.date_trunc("day", "ts"))
+
+
+@query("""WITH b AS (SELECT max(ts) AS e FROM events), c AS (SELECT count(*) FILTER (ts >= e - INTERVAL 2 DAY AND ts < e - INTERVAL 1 DAY) AS previous_half_count, count(*) FILTER (ts >= e - INTERVAL 1 DAY AND ts <= e) AS current_half_count FROM events, b)
+    SELECT *, CASE WHEN current_half_count < 30 OR previous_half_count < 30 THEN 'unknown' WHEN current_half_count < 0.5 * previous_half_count THEN 'low' WHEN current_half_count > 2 * previous_half_count THEN 'high' ELSE 'normal' END AS rate_state FROM c""")
+def q_rate_halves(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    both = rows.crossJoin(F.broadcast(rows.agg(F.max("ts").alias("e"))))
+    return quality.half_counts(both, "ts", F.expr("e - INTERVAL 2 DAYS"), F.expr("e - INTERVAL 1 DAY"), F.col("e"))
+
+
+@query("""WITH b AS (SELECT max(ts) - INTERVAL 1 HOUR AS now FROM events) SELECT event_type, count(*) FILTER (ts > now + INTERVAL 5 MINUTE OR event_type IS NULL OR user_id IS NULL OR coalesce(value - 5 < 0, FALSE)) AS malformed FROM events, b GROUP BY event_type""")
+def q_malformed(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    both = rows.crossJoin(F.broadcast(rows.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("now")))).withColumn("lat", F.col("value") - 5)
+    return both.groupBy("event_type").agg(F.count_if(quality.malformed(F.col("now"), "ts", ["event_type", "user_id"], "lat")).alias("malformed"))
+
+
+@query(f"""WITH e AS (SELECT *, {K} AS k, ts - INTERVAL 1 SECOND AS x FROM events), b AS (SELECT TIMESTAMP '2024-01-01' AS s, max(ts) AS t FROM events),
+    w AS (SELECT e.*, s, t, lag(ts) OVER o AS pr, lag(x) OVER o AS px, lag(value) OVER o AS pv, lag(k) OVER o AS pk FROM e, b WINDOW o AS (PARTITION BY event_type ORDER BY event_id)),
+    c AS (SELECT event_type, count(*) AS rows, coalesce(sum((pr > ts)::INT), 0)::BIGINT AS "order", coalesce(sum((px > x)::INT), 0)::BIGINT AS xorder, coalesce(sum((abs(value / nullif(pv, 0) - 1) * 100 >= 20)::INT), 0)::BIGINT AS jump,
+        coalesce(sum((k <> pk + 1)::INT), 0)::BIGINT AS seq, sum((ts < s OR ts >= t OR x < s - INTERVAL 5 SECOND OR x >= t + INTERVAL 5 SECOND)::INT)::BIGINT AS range,
+        sum(((x < s AND x >= s - INTERVAL 5 SECOND) OR (x >= t AND x < t + INTERVAL 5 SECOND))::INT)::BIGINT AS excursion, round(coalesce(max(CASE WHEN pr <= ts THEN epoch(ts) - epoch(pr) END), 0), 3) AS largest_gap_s, count(k) AS with_sequence FROM w GROUP BY event_type)
+    SELECT *, CASE WHEN "order" + xorder > 0 OR range > 0 THEN 'rejected' WHEN jump + seq > 0 OR largest_gap_s > 60 OR (with_sequence > 0 AND with_sequence < rows) THEN 'warning' ELSE 'pass' END AS status FROM c""")
+def q_quality_report(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("x", F.expr("ts - INTERVAL 1 SECOND")).withColumn("value", F.nullif("value", F.lit(0.0)))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("ts").alias("t"))))
+    out = quality.report(rows, ["event_type"], ["event_id"], received="ts", exchange="x", price="value", seq="k", start=F.lit("2024-01-01").cast("timestamp_ntz"), end=F.col("t"), tolerance_s=5, gap_s=60, jump_percent=20)
+    return out.withColumn("largest_gap_s", F.round("largest_gap_s", 3))
+
+
+@query(f"""WITH p AS (SELECT *, avg(value) OVER w AS m, count(value) OVER w AS n FROM events WHERE event_type = 'view' AND value > 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+    s AS (SELECT *, CASE WHEN (value / m - 1) * 10000 >= 5000 THEN 1 WHEN (value / m - 1) * 10000 <= -5000 THEN -1 ELSE 0 END AS state FROM p WHERE n = 5),
+    e AS (SELECT *, lag(state, 1, 0) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM s) SELECT user_id, event_id, state, round((value / m - 1) * 10000, 6) AS momentum_bps FROM e WHERE state <> 0 AND state <> was""")
+def q_momentum_signals(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_type = 'view' AND value > 0")
+    found = signals.edges(signals.momentum(rows, ["user_id"], ["event_id"], "value", 5, 5000), ["user_id"], ["event_id"])
+    return found.select("user_id", "event_id", "state", F.round("momentum_bps", 6).alias("momentum_bps"))
+
+
+@query(ORACLES["q_momentum_signals"].replace("SELECT user_id, event_id, state, round((value / m - 1) * 10000, 6) AS momentum_bps FROM e WHERE state <> 0 AND state <> was", """, g AS (SELECT * FROM e WHERE state <> 0 AND state <> was),
+    l AS (SELECT user_id, max(ts) AS last_at, arg_max(value, event_id) AS last_price FROM events WHERE event_type = 'view' AND value > 0 GROUP BY user_id),
+    c AS (SELECT g.user_id, g.state, g.value, coalesce(lead(g.ts) OVER o, CASE WHEN last_at > g.ts THEN last_at END) AS x, coalesce(lead(g.value) OVER o, last_price) AS xp FROM g JOIN l USING (user_id) WINDOW o AS (PARTITION BY g.user_id ORDER BY event_id)),
+    r AS (SELECT user_id, state * (xp / value - 1) AS r FROM c WHERE x IS NOT NULL)
+    SELECT user_id, count(*) AS trades, round(sum(r * 1000), 6) AS pnl, round(avg((r > 0)::INT), 6) AS win_rate, round(avg(r), 9) AS mean_return, round(CASE WHEN count(*) > 1 AND stddev_pop(r) > 0 THEN avg(r) / stddev_pop(r) * sqrt(count(*)) ELSE 0 END, 6) AS sharpe FROM r GROUP BY user_id"""))
+def q_momentum_trades(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_type = 'view' AND value > 0")
+    found = signals.edges(signals.momentum(rows, ["user_id"], ["event_id"], "value", 5, 5000), ["user_id"], ["event_id"])
+    last = rows.groupBy("user_id").agg(F.max("ts").alias("last_at"), F.max_by("value", "event_id").alias("last_price"))
+    stats = signals.statistics(signals.paired(found, last, ["user_id"], ["event_id"], "ts", "value"), ["user_id"])
+    return stats.select("user_id", "trades", *[F.round(c, d).alias(c) for c, d in (("pnl", 6), ("win_rate", 6), ("mean_return", 9), ("sharpe", 6))])
+
+
+@query("""SELECT user_id, event_id, round((f / s - 1) * 10000, 6) AS edge_bps FROM (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS f, avg(value) OVER w AS s, count(value) OVER w AS n
+    FROM events WHERE value > 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) WHERE n = 10""")
+def q_fast_slow_ma(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("value > 0")
+    return signals.moving_averages(rows, ["user_id"], ["event_id"], "value", 3, 10).where("edge_bps IS NOT NULL").select("user_id", "event_id", F.round("edge_bps", 6).alias("edge_bps"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, sum(value - 50) OVER (PARTITION BY user_id ORDER BY event_id) AS q FROM events WHERE event_type = 'purchase'),
+    p AS (SELECT user_id, greatest(0, max(q) OVER (PARTITION BY user_id ORDER BY event_id)) - q AS d FROM e) SELECT user_id, round(max(d), 6) AS maximum_drawdown FROM p GROUP BY user_id""")
+def q_drawdown(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("r", F.col("value") - 50)
+    return signals.drawdown(rows, ["user_id"], ["event_id"], "r").withColumn("maximum_drawdown", F.round("maximum_drawdown", 6))
+
+
+@query("""SELECT o_orderkey, round(g, 6) AS gross_pnl, round(f, 6) AS fees, round(u, 6) AS funding, round(s, 6) AS slippage_and_latency, round(g - f - u - s, 6) AS net_pnl FROM (SELECT o_orderkey, 1000 / o_totalprice * (o_totalprice * 1.01 - o_totalprice) AS g,
+    (1000 + 1000 / o_totalprice * (o_totalprice * 1.01)) * 0.001 AS f, 1000 * 0.001 * 3600 / 28800 AS u, (1000 + 1000 / o_totalprice * (o_totalprice * 1.01)) * 2 / 10000 AS s FROM orders WHERE o_totalprice > 0)""")
+def q_trade_costs(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").where("o_totalprice > 0")
+    p = F.col("o_totalprice")
+    costs = signals.trade_costs(F.lit(1), p, p * 1.01, F.lit(3600.0), 1000.0, 0.001, 0.001, 1.0, 1.0)
+    return rows.select("o_orderkey", *[F.round(x, 6).alias(n) for n, x in costs.items()])
+
+
+@query()
+def q_backtest(spark, sf_dir):
+    bars = candles.candles(tape_of(events(spark, sf_dir), "purchase").withColumn("symbol", F.col("event_type")), extract.finite_positive(F.col("value")), F.col("k").cast("double"), "hour")
+    how = backtest.Baseline(lookback=3, delay=1, threshold_bps=1000, holding_s=7200, cooldown_s=3600)
+    return backtest.report(backtest.outcomes(bars, "symbol", "timestamp", "close", how), how)
+
+
+@query()
+def q_backtest_skips(spark, sf_dir):
+    bars = candles.candles(tape_of(events(spark, sf_dir)).withColumn("symbol", F.col("event_type")), extract.finite_positive(F.col("value")), F.col("k").cast("double"), "hour")
+    how = backtest.Baseline(lookback=3, delay=1, threshold_bps=1000, holding_s=7200, cooldown_s=3600)
+    return backtest.outcomes(bars, "symbol", "timestamp", "close", how).groupBy("series", "outcome").count()
+
+
+ASOF_SQL = """WITH l AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'), r AS (SELECT event_id AS rid, user_id, ts AS matched_at, value AS quote FROM events WHERE event_type = 'view')
+    SELECT l.event_id, l.user_id, l.ts, matched_at, quote{more} FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.matched_at"""
+
+
+def _asof(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    left = rows.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
+    right = rows.where("event_type = 'view'").select("event_id", "user_id", "ts", F.col("value").alias("quote"))
+    return joins.asof(left, right, "user_id", "ts", ["quote"], "event_id")
+
+
+@query(ASOF_SQL.format(more=""))
+def q_asof_quote(spark, sf_dir):
+    return _asof(spark, sf_dir).select("event_id", "user_id", "ts", "matched_at", "quote")
+
+
+@query(ASOF_SQL.format(more=", CASE WHEN quote IS NULL OR epoch(l.ts) - epoch(matched_at) > 600 THEN 'not_comparable' WHEN round(value) = round(quote) THEN 'match' ELSE 'mismatch' END AS verdict"))
+def q_book_vs_quote(spark, sf_dir):
+    seconds = F.col("ts").cast("timestamp").cast("double") - F.col("matched_at").cast("timestamp").cast("double")
+    value, quote = F.round("value"), F.round("quote")
+    return _asof(spark, sf_dir).select("event_id", "user_id", "ts", "matched_at", "quote", classify.book_match(seconds, value, value, quote, quote, 600).alias("verdict"))
+
+
+PLAN_SQL = """b AS (SELECT date_trunc('day', min(ts)) AS s, date_trunc('day', max(ts)) + INTERVAL 1 DAY AS e FROM events), g AS (SELECT unnest(generate_series(s, e - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS window_start FROM b),
+    c AS (SELECT date_trunc('hour', ts) AS h, count(*) AS n, count(*) FILTER (event_type = 'purchase') AS t FROM events GROUP BY 1),
+    p AS (SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, coalesce(n, 0) AS expected_event_count, coalesce(t, 0) AS expected_trade_count, (row_number() OVER (ORDER BY window_start) - 1)::INT AS "index" FROM g LEFT JOIN c ON h = window_start)"""
+
+
+def _plan(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    bounds = rows.agg(F.date_trunc("day", F.min("ts")).alias("start"), (F.date_trunc("day", F.max("ts")) + F.expr("INTERVAL 1 DAY")).alias("end"))
+    return planning.window_plan(bounds, rows, "ts", "1 HOUR", "hour", F.col("event_type") == "purchase")
+
+
+@query(f"WITH {PLAN_SQL} SELECT * FROM p")
+def q_window_plan(spark, sf_dir):
+    return _plan(spark, sf_dir)
+
+
+@query(f"""WITH {PLAN_SQL}, q AS (SELECT *, CASE WHEN "index" % 7 = 3 THEN 'completed_quarantined' WHEN "index" % 5 = 1 THEN 'skipped_verified' ELSE 'completed_admissible' END AS status, lead(window_start) OVER (ORDER BY "index") AS nx FROM p)
+    SELECT TRUE AS all_storage_complete, bool_and(coalesce(nx = window_end, TRUE)) AS boundary_continuity, FALSE AS failed_storage, bool_or(status = 'completed_quarantined') AS has_quarantined, TRUE AS checksums_valid, sum(expected_event_count)::BIGINT AS storage_event_total,
+    sum(expected_event_count) FILTER (status <> 'completed_quarantined')::BIGINT AS admissible_event_total, sum(expected_event_count) FILTER (status = 'completed_quarantined')::BIGINT AS quarantined_event_total, sum(expected_event_count)::BIGINT AS range_expected_event_count,
+    bool_and(coalesce(nx = window_end, TRUE)) AS storage_coverage_continuous, FALSE AS admissible_coverage_continuous, 'pass' AS status FROM q""")
+def q_reconcile(spark, sf_dir):
+    plan = _plan(spark, sf_dir)
+    i = F.col("index")
+    progress = plan.select("index", F.when(i % 7 == 3, "completed_quarantined").when(i % 5 == 1, "skipped_verified").otherwise("completed_admissible").alias("status"), F.col("expected_event_count").alias("event_count"), F.lit(True).alias("checksums_ok"))
+    return planning.reconcile(plan, progress)
+
+
+@query("SELECT c AS o_custkey, count(DISTINCT d) AS covered_days FROM (SELECT o_custkey AS c, unnest(generate_series(o_orderdate::DATE, (o_orderdate + to_days((o_orderkey % 5 + 1)::INT) - INTERVAL 1 MICROSECOND)::DATE, INTERVAL 1 DAY)) AS d FROM orders) GROUP BY c")
+def q_covered_days(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").alias("start"), F.expr("o_orderdate + make_interval(0, 0, 0, cast(o_orderkey % 5 + 1 as int))").alias("end"))
+    return admission.covered_days(rows, ["o_custkey"])
+
+
+@query("""WITH d AS (SELECT date_trunc('month', o_orderdate) AS start, count(*) AS trades, round(sum(o_totalprice), 2) AS net_pnl FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY start) AS p, count(*) OVER () AS n FROM d)
+    SELECT CASE WHEN p > n - 2 THEN 'out_of_sample' WHEN p > n - 3 THEN 'validation' ELSE 'training' END AS split, count(*) AS datasets, sum(trades)::BIGINT AS trades, round(sum(net_pnl), 2) AS net_pnl FROM r GROUP BY 1""")
+def q_split_oos(spark, sf_dir):
+    months = table(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("start")).agg(F.count(F.lit(1)).alias("trades"), F.round(F.sum("o_totalprice"), 2).alias("net_pnl")).withColumn("dataset_id", F.col("start").cast("string"))
+    return admission.split(months).groupBy("split").agg(F.count(F.lit(1)).alias("datasets"), F.sum("trades").alias("trades"), F.round(F.sum("net_pnl"), 2).alias("net_pnl"))
+
+
+@query("""WITH d AS (SELECT date_trunc('day', ts) AS s, count(*) AS n FROM events GROUP BY 1), c AS (SELECT *, lag(s + INTERVAL 1 DAY) OVER (ORDER BY s) AS p FROM d WHERE n % 7 <> 0 AND s + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 3 DAY)
+    SELECT count(*) AS days, coalesce(sum(n), 0)::BIGINT AS eligible_rows, coalesce(bool_or(p <> s), FALSE) AS has_gap, CASE WHEN coalesce(bool_or(p <> s), FALSE) THEN 'gap' WHEN count(*) > 0 THEN 'eligible' ELSE 'nothing_eligible' END AS state FROM c""")
+def q_retention_plan(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    days = rows.groupBy(F.date_trunc("day", "ts").alias("start")).agg(F.count(F.lit(1)).alias("row_count")).withColumn("end", F.col("start") + F.expr("INTERVAL 1 DAY"))
+    days = days.withColumn("status", F.when(F.col("row_count") % 7 != 0, "verified").otherwise("pending")).withColumn("destination", F.lit("s3")).withColumn("dataset_group", F.lit("raw_and_normalized"))
+    days = days.crossJoin(F.broadcast(rows.agg((F.max("ts") - F.expr("INTERVAL 3 DAYS")).alias("cutoff"))))
+    return planning.retention_summary(planning.retention(days, F.col("cutoff")))
+
+
+@query("""SELECT s_suppkey, CASE WHEN 600 * 1048576.0 * 3 > u OR floor(u / (600 * 1048576.0)) < 3 OR f <= 4294967296 THEN 'blocked' WHEN u / (800 * 1048576.0) <= 7 THEN 'warning' ELSE 'safe' END AS state
+    FROM (SELECT s_suppkey, f, greatest(f - 3221225472, 0) AS u FROM (SELECT s_suppkey, (abs(s_acctbal) * 1500000)::BIGINT AS f FROM supplier))""")
+def q_capacity(spark, sf_dir):
+    free = F.round(F.abs("s_acctbal") * 1_500_000).cast("bigint")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", classify.capacity_plan(free, F.lit(600.0), F.lit(0.0), F.lit(200.0), F.lit(3), F.lit(0), F.lit(False)).alias("state"))
+
+
+@query(f"SELECT event_id, {K} AS sequence, CASE WHEN {K} > 0 THEN {K}::DOUBLE END AS number FROM events")
+def q_json_extract(spark, sf_dir):
+    v = F.col("v")
+    rows = table(spark, sf_dir, "events").withColumn("v", F.try_parse_json(F.replace(F.col("props"), F.lit('"k"'), F.lit('"seq"'))))
+    return rows.select("event_id", extract.sequence(v).alias("sequence"), extract.payload_number(v, ("seq",)).alias("number"))
+
+
+@query("SELECT event_id, date_trunc('second', ts) AS at FROM events")
+def q_epoch_magnitude(spark, sf_dir):
+    seconds = F.floor(F.col("ts").cast("timestamp").cast("double"))
+    scaled = F.element_at(F.array(F.lit(1.0), F.lit(1e3), F.lit(1e6), F.lit(1e9)), (F.col("event_id") % 4 + 1).cast("int")) * seconds
+    return table(spark, sf_dir, "events").select("event_id", F.timestamp_micros(extract.epoch_micros(scaled.cast("double"))).alias("at"))
+
+
+@query(f"""SELECT code AS error_code, count(*) AS events FROM (SELECT CASE WHEN event_type NOT IN ('view', 'click', 'purchase') THEN 'unsupported_event_type' WHEN {K} % 11 = 0 THEN 'identity_mismatch' WHEN {K} % 7 = 0 THEN 'invalid_decimal' WHEN {K} % 5 = 0 THEN 'impossible_value' ELSE 'ok' END AS code FROM events) GROUP BY code""")
+def q_normalize_route(spark, sf_dir):
+    k, t = F.col("k"), F.col("event_type")
+    topic = F.when(t.isin("view", "click", "purchase"), "mark_price").otherwise(t)
+    price = F.when(k % 7 == 0, F.lit("12")).when(k % 5 == 0, F.lit('"0"')).otherwise(F.lit('"101.5"'))
+    body = F.concat(F.lit('{"topic":"mark_price","symbol":"'), F.when(k % 11 == 0, F.lit("other")).otherwise(F.col("user_id").cast("string")), F.lit('","data":{"markPrice":'), price, F.lit("}}"))
+    rows = events(spark, sf_dir).select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("received_at"), F.lit(None).cast("timestamp").alias("exchange_at"), F.lit("x").alias("source"), topic.alias("event_type"), F.col("user_id").cast("string").alias("symbol"),
+        F.lit(None).cast("string").alias("connection_id"), F.lit(None).cast("long").alias("local_sequence"), F.lit(None).cast("long").alias("exchange_sequence"), F.lit(2).cast("short").alias("schema_version"), body.alias("payload"),
+    )
+    return normalize.checked(rows).groupBy(F.coalesce("error_code", F.lit("ok")).alias("error_code")).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders o WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+def q_idempotent_insert(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return joins.new_rows(rows.union(rows), rows.where("o_orderkey % 3 = 0"), ["o_orderkey"])
+
+
+@query("""SELECT o_orderkey, CASE WHEN s IS NULL THEN 'no_trades' WHEN abs(s - o_totalprice) <= 1000 THEN 'consistent' ELSE 'differs' END AS verdict FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def q_trade_consistency(spark, sf_dir):
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("s"))
+    rows = table(spark, sf_dir, "orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return rows.select("o_orderkey", F.when(F.col("s").isNull(), "no_trades").when(F.abs(F.col("s") - F.col("o_totalprice")) <= 1000, "consistent").otherwise("differs").alias("verdict"))
+
+
+DIGEST_SQL = "sha256(unhex(string_agg(printf('%016X', event_id), '' ORDER BY event_id)))"
+
+
+@query(f"SELECT event_type, count(*) AS row_count, min(event_id) AS min_id, max(event_id) AS max_id, {DIGEST_SQL} AS id_sha256 FROM events GROUP BY event_type")
+def q_id_digest(spark, sf_dir):
+    return archive.chunk_digests(table(spark, sf_dir, "events"), ["event_type"], "event_id")
+
+
+@query(f"WITH c AS (SELECT event_type, date_trunc('day', ts) AS d, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi, {DIGEST_SQL} AS h FROM events GROUP BY ALL) SELECT event_type, sum(n)::BIGINT AS row_count, min(lo) AS min_id, max(hi) AS max_id, sha256(string_agg(h, '' ORDER BY lo)) AS chunks_sha256 FROM c GROUP BY event_type")
+def q_day_digest(spark, sf_dir):
+    chunks = archive.chunk_digests(table(spark, sf_dir, "events").withColumn("d", F.date_trunc("day", "ts")), ["event_type", "d"], "event_id")
+    return archive.day_digest(chunks, ["event_type"])
+
+
+@query("SELECT event_type, CASE event_type WHEN 'purchase' THEN 'row_count_differs' ELSE 'missing' END AS problem FROM (SELECT DISTINCT event_type FROM events) WHERE event_type IN ('purchase', 'view')")
+def q_archive_verify(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    manifest = archive.chunk_digests(rows, ["event_type"], "event_id")
+    found = archive.chunk_digests(rows.where("event_type <> 'view' AND NOT (event_type = 'purchase' AND event_id % 97 = 1)"), ["event_type"], "event_id")
+    return archive.verify(manifest, found, ["event_type"])
+
+
+@query(r"""SELECT doc_id, length(r) AS redacted_chars, md5(r) AS redacted_md5 FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(?i)(password|passwd|token|secret|api[_-]?key|authorization)\s*([=:])\s*[^\s,;]+', '\1\2[REDACTED]', 'g'), '(?i)\b(?:[a-z][a-z0-9+.-]*://)[^\s]+', '[REDACTED]', 'g') AS r FROM documents)""")
+def q_redact(spark, sf_dir):
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), text.SECRET, "$1$2[REDACTED]"), text.URL, "[REDACTED]")
+    return table(spark, sf_dir, "documents").select("doc_id", F.char_length(clean).alias("redacted_chars"), F.md5(clean.cast("binary")).alias("redacted_md5"))
+
+
+@query("SELECT o_orderkey, lower(replace('ETH/USDT-P', '/', '-')) || '_' || strftime(o_orderdate, '%Y%m%dT%H%M%S%fZ') || '_' || strftime(o_orderdate + INTERVAL 1 HOUR, '%Y%m%dT%H%M%S%fZ') || '_v2' AS dataset_id FROM orders")
+def q_dataset_id(spark, sf_dir):
+    start = F.col("o_orderdate").cast("timestamp")
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.dataset_id(F.lit("ETH/USDT-P"), start, start + F.expr("INTERVAL 1 HOUR")).alias("dataset_id"))
+
+
+@query("SELECT event_type, count(*) AS rows FROM events GROUP BY event_type")
+def q_counts_by_type(spark, sf_dir):
+    from tapelake.sources import tape
+
+    return tape.counts_by(table(spark, sf_dir, "events"), "event_type")
+
+
+def _book_events(spark, sf_dir):
+    """lineitem as book events: suppliers are symbols, each line moves one level on a side; every 40th is a snapshot."""
+    d = lambda c, n: c.cast("decimal(38,18)").alias(n)
+    li = table(spark, sf_dir, "lineitem").withColumn("rid", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    level = lambda p, q: F.array(F.struct(d(p, "price"), d(q, "quantity")))
+    bid, ask = level(F.lit(100) - F.col("l_quantity") % 7, F.col("l_linenumber") % 4), level(F.lit(101) + F.col("l_quantity") % 5, F.col("l_linenumber") % 3)
+    snap = F.col("rid") % 40 < 10
+    return li.select(
+        F.col("l_suppkey").cast("string").alias("symbol"), F.col("rid").alias("raw_event_id"), F.lit("c").alias("connection_id"), F.lit(None).cast("long").alias("exchange_sequence"), F.col("rid").alias("local_sequence"), F.lit(2).cast("short").alias("raw_schema_version"),
+        F.when(snap, "Snapshot").otherwise("Update").alias("message_type"), F.when(snap, level(F.lit(99), F.lit(1))).otherwise(bid).alias("bids"), F.when(snap, level(F.lit(102), F.lit(1))).otherwise(ask).alias("asks"),
+    )
+
+
+@query()
+def q_book_fold(spark, sf_dir):
+    return orderbook.histogram(orderbook.reconstruct(_book_events(spark, sf_dir), ["raw_event_id"]))
+
+
+@query()
+def q_paper(spark, sf_dir):
+    v = F.col("value")
+    t = F.col("event_type")
+    payload = F.when(t == "purchase", F.to_json(F.struct(F.lit("mark_price").alias("topic"), v.alias("markPrice")))).otherwise(F.to_json(F.struct(F.lit("ask_bid_price").alias("topic"), v.alias("bidPrice"), (v * 1.001).alias("askPrice"))))
+    rows = table(spark, sf_dir, "events").where("value > 0").select(F.col("user_id").cast("string").alias("symbol"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("received_at"), payload.alias("payload"))
+    return paper.simulate(paper.inputs(rows), paper.Paper(fast=2, slow=5))

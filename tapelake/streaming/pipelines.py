@@ -63,7 +63,7 @@ def book_stream(events: DataFrame, use_local_sequence: bool = True) -> DataFrame
             seen = book.step(e.message_type, e.connection_id, orderbook._plain(e.exchange_sequence), orderbook._plain(e.local_sequence), e.raw_schema_version == 1, e.bids, e.asks)
             out.append((key[0], e.raw_event_id, *seen))
         state.update((book.connection, list(book.bids.items()), list(book.asks.items()), book.label, book.valid, book.exchange, book.local))
-        yield pd.DataFrame(out, columns=[f.name for f in schemas.BOOK_STATES])
+        yield pd.DataFrame(out, columns=list(schemas.BOOK_STATE_NAMES))
 
     level = f"array<struct<price:{schemas.DEC},quantity:{schemas.DEC}>>"
     kept = f"connection string, bids {level}, asks {level}, label string, valid boolean, exchange long, local long"
