@@ -56,8 +56,12 @@ def payload_number(v: Column, names: tuple[str, ...], layers: tuple[str, ...] =
 
 def valid_number(v: Column, names: tuple[str, ...], layers: tuple[str, ...] = ROOT_DATA) -> Column:
     """The first value that is a number above zero; infinity counts."""
-    each = [number(at(v, f"{layer}.{n}")) for layer in layers for n in names]
-    return F.coalesce(*[F.when(~F.isnan(d) & (d > 0), d) for d in each])
+    return first_positive([number(at(v, f"{layer}.{n}")) for layer in layers for n in names])
+
+
+def first_positive(numbers: list[Column]) -> Column:
+    """One array and one filter, so that each number is in the generated code once."""
+    return F.get(F.filter(F.array(*numbers), lambda d: ~F.isnan(d) & (d > 0)), 0)
 
 
 def price_for_quality(v: Column) -> tuple[Column, Column]:
@@ -76,17 +80,13 @@ def best_level(v: Column, sides: tuple[str, ...]) -> Column:
     """First level's price of the first side that is there: a price, an object's price, or the head of a pair."""
     layer = F.coalesce(at(v, "$.data"), v)
 
-    def price(x: Column) -> Column:
-        keyed = F.coalesce(*[F.when(~F.isnan(n := number(at(x, f"$.{k}"))) & (n > 0), n) for k in ("price", "p", "px")])
-        head = number(at(x, "$[0]"))
-        return F.coalesce(keyed, F.when(~F.isnan(head) & (head > 0), head))
-
-    found = []
+    found: list[Column] = []
     for name in sides:
         side = at(layer, f"$.{name}")
-        levels = F.coalesce(at(side, "$.levels"), at(side, "$.prices"))
-        found += [price(at(levels, "$[0]")), price(side), price(at(side, "$[0]"))]
-    return F.coalesce(*found)
+        head = at(F.coalesce(at(side, "$.levels"), at(side, "$.prices")), "$[0]")
+        for x in (head, side, at(side, "$[0]")):
+            found += [number(at(x, path)) for path in ("$.price", "$.p", "$.px", "$[0]")]
+    return first_positive(found)
 
 
 def sequence(v: Column) -> Column:
