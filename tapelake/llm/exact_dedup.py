@@ -71,7 +71,8 @@ def entries_of(spark: SparkSession, log: DataFrame) -> DataFrame:
     digest_state(stream, new_path(spark, "state"), out)
     kinds = f"digest {log.schema['digest'].dataType.simpleString()}, keep_id {log.schema['doc_id'].dataType.simpleString()}, locator string, group_size long, batch long"
     # keep_id and group_size only rise from batch to batch
-    return spark.read.schema(kinds).parquet(out).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max_by("locator", "batch").alias("locator"), F.max("group_size").alias("group_size"))
+    latest = spark.read.schema(kinds).parquet(out).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.max_by("locator", "batch").alias("locator"), F.max("group_size").alias("group_size"))
+    return written(latest, "latest")  # a written side lets the join deal a hot digest's rows to several tasks
 
 
 def clashes(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
