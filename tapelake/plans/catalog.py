@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapelake.functions import classify, extract, text
-from tapelake.operators import admission, archive, backtest, candles, joins, normalize, orderbook, paper, planning, quality, signals
+from tapelake.operators import admission, archive, backtest, candles, joins, normalize, operations, orderbook, paper, planning, quality, signals
 from tapelake.operators import ordering
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,6 +388,20 @@ def q_counts_by_type(spark, sf_dir):
     return tape.counts_by(table(spark, sf_dir, "events"), "event_type")
 
 
+@query(f"""WITH e AS (SELECT user_id, event_id, {K} AS k, {K} % 10 = 0 AS snap FROM events), w AS (SELECT *, sum(snap::INT) OVER o AS seen, lag(k) OVER o AS previous FROM e WINDOW o AS (PARTITION BY user_id ORDER BY event_id)),
+    r AS (SELECT *, CASE WHEN snap THEN NULL WHEN seen = 0 THEN 'missing_snapshot' WHEN k > previous + 1 THEN 'sequence_gap' WHEN k <= previous THEN 'sequence_regression' END AS reason FROM w)
+    SELECT user_id, event_id, k, coalesce(previous, -1) AS previous, reason FROM r WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1""")
+def q_desyncs(spark, sf_dir):
+    rows = events(spark, sf_dir).select("user_id", "event_id", "k")
+    return operations.desyncs(rows, "user_id", ["event_id"], "k", F.col("k") % 10 == 0).withColumn("previous", F.coalesce("previous", F.lit(-1)))
+
+
+@query("SELECT event_id, user_id, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
+def q_newest_records(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts").withColumn("at", F.struct("ts", "event_id"))
+    return operations.newest(rows, ["user_id"], "at").drop("at")
+
+
 def _book_events(spark, sf_dir):
     """lineitem as book events: suppliers are symbols, each line moves one level on a side; every 40th is a snapshot."""
     d = lambda c, n: c.cast("decimal(38,18)").alias(n)

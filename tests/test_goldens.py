@@ -265,3 +265,16 @@ def test_streams(spark, tmp_path):
     q = pipelines.candle_stream(pipelines.raw_stream(spark, path)).writeStream.format("memory").queryName("bars").outputMode("complete").option("checkpointLocation", f"{tmp_path}/cc").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.open, r.volume) for r in spark.table("bars").collect()] == [(5.0, 1.0)]
+
+
+def test_operations(spark):
+    from tapelake.operators import operations
+
+    rows = spark.createDataFrame([("a", 1, 5, False), ("a", 2, 6, True), ("b", 1, 5, True), ("b", 2, None, False), ("b", 3, 6, False), ("b", 4, 6, False), ("c", 1, 1, True), ("c", 2, 3, False)], "c string, i int, k long, snap boolean")
+    got = {r.c: (r.i, r.reason) for r in operations.desyncs(rows, "c", ["i"], "k", F.col("snap")).collect()}
+    assert got == {"a": (1, "missing_snapshot"), "b": (4, "sequence_regression"), "c": (2, "sequence_gap")}
+    details = spark.createDataFrame([('{"a": [{"api_key": 1, "b": 2}], "Password": {"x": 1}}',), ("no json",), (None,)], "d string")
+    assert [r[0] for r in details.select(operations.redact_details(F.col("d"))).collect()] == ['{"Password": "[REDACTED]", "a": [{"api_key": "[REDACTED]", "b": 2}]}', None, None]
+    plan = spark.createDataFrame([("x", T0, T0, 2, 1), ("y", T0, T0, 2, 1), ("z", T0, T0, 2, 1)], "dataset_id string, window_start timestamp, window_end timestamp, expected_event_count long, expected_trade_count long")
+    remote = spark.createDataFrame([("x", T0, T0, True, False, 2, 1), ("y", T0, T0, True, False, 3, 1)], "dataset_id string, window_start timestamp, window_end timestamp, quarantined boolean, admission_eligible boolean, event_count long, trade_count long")
+    assert [r.verdict for r in operations.adoption(plan, remote).orderBy("dataset_id").collect()] == ["adopted", "event_count_differs", "absent"]
