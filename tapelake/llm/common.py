@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window
 
 #: A word is a run of bytes that are none of these; they never occur inside a multi-byte UTF-8 character.
@@ -83,7 +82,3 @@ def words_count(text: Column) -> Column:
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that an input's further columns never clash with those that an operator makes."""
     return df.select(*[F.col(f"`{n}`") for n in names])
-
-
-def arrow_schema(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
