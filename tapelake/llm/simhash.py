@@ -6,7 +6,7 @@ in at most `radius` bits are linked, and links are closed to components.
 Candidates meet by keys: with b blocks of a fingerprint of which e must be equal whenever at most b - e bits differ, all
 choices of e blocks as keys lose no link (64 bits, radius 4: five blocks and one equal, more as the corpus grows, so
 that a key's rows stay few). Wide fingerprints (lanes > 1) with large radius use keys of sampled bits, as many as a
-stated recall at the stated bit similarity needs. A key with more rows than TILE is dealt to pairs of parts, which are
+stated recall at the stated bit similarity needs; their links are checked on the shingle sets. A key with more rows than TILE is dealt to pairs of parts, which are
 compared in tasks of their own, so nothing is skipped.
 
 Within a key, fingerprints are held as bit planes: plane p has bit p of 64 fingerprints in a word. All pairs at offset d
@@ -36,6 +36,8 @@ from tapelake.llm.components import components
 
 SEED = 42
 TILE = 4096
+#: Rows and bytes of shingle sets of half a tile, about.
+SET_TILE, SET_BYTES = 512, 8 << 20
 U = np.uint64
 #: 8 bits of each byte value, least first.
 BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -78,8 +80,8 @@ def majority(hashes: np.ndarray, owner: np.ndarray, count: int, lanes: int) -> n
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1) -> DataFrame:
-    """doc_id and fp (8 bytes a lane, most significant first) of each row."""
+def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """doc_id and fp (8 bytes a lane, most significant first) of each row; distinct: repeated shingles count once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,6 +104,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1) -> DataFrame
             pending = 0
             for k, text in enumerate(batch.column("text")):
                 parts = shingle_hashes(text.as_py() or "", shingle)
+                if distinct and len(many := list(parts)):
+                    once = np.unique(np.concatenate(many))
+                    parts = (once[a : a + 100_000] for a in range(0, len(once), 100_000))
                 total, counted = 0, None
                 for h in parts:
                     if total + len(h) > 1_000_000:  # a very long text is summed on its own, stretch by stretch
@@ -302,8 +307,8 @@ def links(nodes: DataFrame, radius: int, keys: list[np.ndarray], lanes: int) ->
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long")
 
 
-def alike(edges: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The edges (u, v) whose documents' shingle sets have at least the Jaccard similarity."""
+def shingle_sets(edges: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node, hashes (8 bytes a shingle, ascending, once each) of the documents at the ends of edges."""
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,34 +320,103 @@ def alike(edges: DataFrame, docs: DataFrame, shingle: int, similarity: float) ->
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], names=["node", "hashes"])
 
     texts = pick(docs, "doc_id", "text").join(ends, F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").cast("long").alias("node"), "text")
-    known = written(texts.mapInArrow(sets, "node long, hashes binary"), "sets")
-    a = known.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
-    b = known.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+    return written(texts.mapInArrow(sets, "node long, hashes binary"), "sets")
+
+
+def jaccard(x: bytes, y: bytes) -> float:
+    p, q = np.frombuffer(x, U), np.frombuffer(y, U)
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both / max(1, len(p) + len(q) - both)
+
+
+def alike(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u, v) whose documents' shingle sets have at least the Jaccard similarity."""
+    a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+    b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both))
+            keep = [jaccard(x, y) >= similarity for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return edges.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(near, "u long, v long")
 
 
-def near_components(prints: DataFrame, radius: int, lanes: int = 1, differ: float | None = None, recall: float = 0.9, check=None) -> DataFrame:
-    """doc_id, fp, component_id for the written table of prints (doc_id, fp); check: from links to those that count."""
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    linkable = nodes.where("node IS NOT NULL").select("node", "fp")
-    n = linkable.count()
-    keys = block_keys(n, radius, lanes * 64) if differ is None else sampled_keys(n, lanes * 64, differ, recall)
-    found = links(linkable, radius, keys, lanes)
-    roots = components(check(written(found.distinct(), "links")) if check else found)
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+def join_sets(node: np.ndarray, side: np.ndarray, part: np.ndarray, fp: list[bytes], hashes: list[bytes], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between rows of different parts, each of which joins two sets; rows of two sides are compared across them only."""
+    n, made = len(node), []
+    bits = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(n, -1), axis=1)
+    labels = np.unique(part, return_inverse=True)[1]
+    planes, across = planes_of(bits), len(np.unique(side)) > 1
+    words = -(-n // 64)
+    for d in range(1, n):
+        valid = np.zeros(words * 64, np.uint8)
+        valid[: n - d] = (labels[d:] != labels[:-d]) & ((side[d:] != side[:-d]) | (not across))
+        if valid.any():
+            hit = near_at(planes, d, np.packbits(valid, bitorder="little").view("<u8"), radius)
+            for i in np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little")).tolist():
+                low, high = sorted((labels[i], labels[i + d]))
+                if low != high and jaccard(hashes[i], hashes[i + d]) >= similarity:
+                    labels[labels == high] = low
+                    made.append((int(node[i]), int(node[i + d])))
+    return made
+
+
+def settled(nodes: DataFrame, tried: DataFrame, kept: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """u, v: what joins the parts (components of `kept`) of each component of `tried`.
+
+    `tried` is a forest, so that a pair of alike documents may have no edge of its own. Components that checked edges
+    leave in several parts are compared whole, in pairs of tiles of bounded rows and bytes; only joining links leave a task.
+    """
+    parts = components(kept).select(F.col("node").alias("_n"), F.col("root").alias("part"))
+    members = components(tried).join(parts, F.col("node") == F.col("_n"), "left").select("node", "root", F.coalesce("part", "node").alias("part"))
+    members = written(members.join(sets.groupBy("node").agg(F.max(F.octet_length("hashes")).alias("bytes")), "node"), "members")
+    tiles = F.greatest(F.ceil(F.count(F.lit(1)) / SET_TILE), F.ceil(F.sum("bytes") / SET_BYTES)).cast("int")
+    mixed = written(members.groupBy("root").agg(F.min("part").alias("least"), F.max("part").alias("most"), tiles.alias("tiles")).where("least != most").select("root", "tiles"), "mixed")
+    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    dealt = members.join(mixed, "root").withColumn("side", mine)
+    tile = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least("side", o) * F.col("tiles") + F.greatest("side", o))
+    dealt = dealt.select("root", F.explode(tile).alias("tile"), "node", "side", "part").select(F.xxhash64("root", "tile").alias("g"), "node", "side", "part")
+    rows = dealt.join(nodes, "node").join(sets, "node").select("g", "node", "side", "part", "fp", "hashes")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def done() -> pa.RecordBatch:
+            _, node, side, part, fp, hashes = zip(*held, strict=True)
+            made = join_sets(np.array(node), np.array(side), np.array(part), list(fp), list(hashes), radius, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in made], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "node", "side", "part", "fp", "hashes")), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield done()
+                    held = []
+                held.append(row)
+        if held:
+            yield done()
+
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long")
+
+
+def components_by_print(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of each row of prints."""
+    named = nodes.join(components(links), "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def nodes_of(prints: DataFrame) -> DataFrame:
+    """fp and node, the least doc_id that has it (null if none)."""
+    return written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+
+
+def near_components(prints: DataFrame, radius: int) -> DataFrame:
+    """doc_id, fp, component_id for the written table of prints (doc_id, fp): no link is lost."""
+    nodes = nodes_of(prints)
+    linkable = nodes.where("node IS NOT NULL").select("node", "fp")
+    return components_by_print(prints, nodes, links(linkable, radius, block_keys(linkable.count(), radius), 1))
+
+
 def near_dedup(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fp, component_id of every row of docs: links of at most `radius` of 64 bits, none lost."""
     return near_components(written(fingerprints(docs, shingle), "prints"), radius)
@@ -353,15 +427,22 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, slack: float = 2.0, recall: float = 0.97) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, slack: float = 3.0, recall: float = 0.97) -> DataFrame:
     """doc_id, fp, component_id: groups of documents of a Jaccard similarity of shingles.
 
-    Wide fingerprints find the candidates: the radius is the expected distance at `similarity` plus `slack` standard
-    deviations, sampled keys find a pair at `similarity` with `recall`. Each link is then checked on the shingle sets.
+    Wide fingerprints of the shingle sets find the candidates: the radius is the expected distance at `similarity` plus
+    `slack` standard deviations, sampled keys find a pair at `similarity` with `recall`. Links are then checked on the
+    sets, and candidates' components that this leaves in parts are compared whole.
     """
     share, bits = differing_share(similarity), lanes * 64
     radius = int(share * bits + slack * math.sqrt(bits * share * (1 - share)))
-    return near_components(written(fingerprints(docs, shingle, lanes), "prints"), radius, lanes, share, recall, lambda edges: alike(edges, docs, shingle, similarity))
+    prints = written(fingerprints(docs, shingle, lanes, distinct=True), "prints")
+    nodes = nodes_of(prints)
+    linkable = nodes.where("node IS NOT NULL").select("node", "fp")
+    tried = written(links(linkable, radius, sampled_keys(linkable.count(), bits, share, recall), lanes).distinct(), "links")
+    sets = shingle_sets(tried, docs, shingle)
+    kept = written(alike(tried, sets, similarity), "alike")
+    return components_by_print(prints, nodes, kept.union(settled(linkable, tried, kept, sets, radius, similarity)))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -171,6 +171,25 @@ def test_similar_groups_are_checked(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, rows)).collect()) == [1, 3, 4]
 
 
+@pytest.mark.parametrize(("tile", "size"), [(512, 8 << 20), (7, 8 << 20), (512, 20_000)])
+def test_similar_groups_lose_no_link(spark, monkeypatch, tile, size):
+    monkeypatch.setattr(simhash, "SET_TILE", tile)
+    monkeypatch.setattr(simhash, "SET_BYTES", size)
+    rng = random.Random(11)
+    rows = [(500, "spam " * 400 + " ".join(f"p{k}" for k in range(90)), "a"), (501, "spam " * 400 + " ".join(f"q{k}" for k in range(90)), "a")]
+    for c in range(3):  # copies with 0 to 9 of 250 words changed: similarities on both sides of 0.8
+        base = [f"w{rng.randint(0, 9999)}" for _ in range(250)]
+        for k in range(40):
+            text = base.copy()
+            for _ in range(rng.randint(0, 9)):
+                text[rng.randrange(250)] = f"n{rng.randint(0, 9999)}"
+            rows.append((100 * c + k, " ".join(text), "a"))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t, _ in rows for w in [t.split()]}
+    want = brute_groups(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, rows)).collect()}
+    assert got == want and got[501] == 501
+
+
 @pytest.mark.parametrize("digest", [exact_dedup.sha256_digest, lambda t: F.unhex(F.lpad(F.hex(F.length(t) % 5), 2, "0"))])
 def test_exact_dedup(spark, corpus, digest):
     rows = [*corpus, (5, corpus[5][1], "z"), (None, "one", "a"), (None, "alone", "a")]
