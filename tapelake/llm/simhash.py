@@ -362,13 +362,13 @@ def join_sets(node: np.ndarray, side: np.ndarray, part: np.ndarray, fp: list[byt
     return made
 
 
-def settled(nodes: DataFrame, tried: DataFrame, kept: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """u, v: what joins the parts (components of `kept`) of each component of `tried`.
+def settled(nodes: DataFrame, tried: DataFrame, parts: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """u, v: what joins the parts (node, root: components of the checked links) of each component of `tried`.
 
     `tried` is a forest, so that a pair of alike documents may have no edge of its own. Components that checked edges
     leave in several parts are compared whole, in pairs of tiles of bounded rows and bytes; only joining links leave a task.
     """
-    parts = components(kept).select(F.col("node").alias("_n"), F.col("root").alias("part"))
+    parts = parts.select(F.col("node").alias("_n"), F.col("root").alias("part"))
     members = components(tried).join(parts, F.col("node") == F.col("_n"), "left").select("node", "root", F.coalesce("part", "node").alias("part"))
     members = written(members.join(sets.groupBy("node").agg(F.max(F.octet_length("hashes")).alias("bytes")), "node"), "members")
     tiles = F.greatest(F.ceil(F.count(F.lit(1)) / SET_TILE), F.ceil(F.sum("bytes") / SET_BYTES)).cast("int")
@@ -441,8 +441,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, l
     linkable = nodes.where("node IS NOT NULL").select("node", "fp")
     tried = written(links(linkable, radius, sampled_keys(linkable.count(), bits, share, recall), lanes).distinct(), "links")
     sets = shingle_sets(tried, docs, shingle)
-    kept = written(alike(tried, sets, similarity), "alike")
-    return components_by_print(prints, nodes, kept.union(settled(linkable, tried, kept, sets, radius, similarity)))
+    parts = components(alike(tried, sets, similarity))
+    stars = parts.select(F.col("node").alias("u"), F.col("root").alias("v"))  # closed already, so that few steps are left
+    return components_by_print(prints, nodes, stars.union(settled(linkable, tried, parts, sets, radius, similarity)))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
