@@ -1,4 +1,4 @@
-"""Manifest and progress checks: canonical reports, logical digests, compatible checkpoints, interrupted attempts, window recovery."""
+"""Manifest and progress checks: canonical reports, logical digests, compatible checkpoints, incomplete attempts, window recovery."""
 
 from __future__ import annotations
 
@@ -43,11 +43,10 @@ def incompatible_checkpoints(checkpoints: DataFrame, **wanted) -> DataFrame:
     return checkpoints.where(~same)
 
 
-def interrupted(objects: DataFrame, key: str = "key", done: str = "COMPLETED", begun: str = "ATTEMPT") -> DataFrame:
-    """Prefixes of a listing that have the marker of an attempt, but not that of its completion."""
-    prefix, name = F.regexp_extract(key, r"^(.*/)?([^/]+)$", 1), F.regexp_extract(key, r"([^/]+)$", 1)
-    marks = objects.where(F.col(key).endswith(done) | F.col(key).endswith(begun)).groupBy(prefix.alias("prefix"))
-    return marks.agg(F.bool_or(name == begun).alias("_begun"), F.bool_or(name == done).alias("_done")).where("_begun AND NOT _done").select("prefix")
+def incomplete_attempts(objects: DataFrame, key: str = "key", root: str = "archives") -> DataFrame:
+    """dataset_id, once each, of a listing's datasets with the marker of an incomplete attempt."""
+    dataset = F.regexp_extract(key, rf"^{root}/([^/]+)/attempts/(?:.*/)?INCOMPLETE$", 1)
+    return objects.select(dataset.alias("dataset_id")).where("dataset_id != ''").distinct()
 
 
 def recovered(status: Column) -> Column:

@@ -33,7 +33,7 @@ def test_changed_inputs(spark):
 def test_progress(spark):
     points = spark.createDataFrame([(1, "a", 1), (2, "b", 1), (3, None, 1)], "id int, symbol string, version int")
     assert {r.id for r in manifests.incompatible_checkpoints(points, symbol="a", version=1).collect()} == {2, 3}
-    keys = spark.createDataFrame([("x/1/ATTEMPT",), ("x/1/COMPLETED",), ("x/2/ATTEMPT",), ("x/3/part",), ("x/4/INCOMPLETED",), (None,)], "key string")
-    assert [r.prefix for r in manifests.interrupted(keys).collect()] == ["x/2/"]
+    keys = spark.createDataFrame([("archives/x/attempts/1/INCOMPLETE",), ("archives/x/attempts/2/INCOMPLETE",), ("archives/y/COMPLETED",), ("archives/z/attempts/1/part",), ("archives/w/attempts/1/NOT_INCOMPLETE",), (None,)], "key string")
+    assert [r.dataset_id for r in manifests.incomplete_attempts(keys).collect()] == ["x"]
     states = spark.createDataFrame([("running",), ("failed_storage",), (None,)], "s string")
     assert [r.s for r in states.select(manifests.recovered(F.col("s")).alias("s")).collect()] == ["pending", "failed_storage", None]
