@@ -160,6 +160,22 @@ def test_components_of_a_chain(spark):
     assert {r for n, r in got.items() if n <= 40} == {0} and got[100] == 99
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_components_of_random_edges(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(500, k) for k in range(400, 440)] + [(7, 7), (None, 3), (3, None), (500, 400)]
+    root = {n: n for p in pairs if None not in p and p[0] != p[1] for n in p}
+    for _ in root:
+        for a, b in pairs:
+            if a in root and b in root and a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components.components(spark.createDataFrame(pairs, "u long, v long")).collect()
+    linked = {r.node: r.root for r in got}
+    assert all(linked.get(n, n) == r for n, r in root.items())
+    assert len(linked) == len(got) and set(linked) <= set(root)
+    assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
 def test_similar_groups_are_checked(spark):
     rng = random.Random(2)
     text = [f"w{rng.randint(0, 9999)}" for _ in range(400)]
