@@ -38,6 +38,8 @@ SEED = 42
 TILE = 4096
 #: Rows and bytes of shingle sets of half a tile, about.
 SET_TILE, SET_BYTES = 512, 8 << 20
+#: Shingles that are hashed at once, and beyond which a text is summed on its own.
+STRETCH, LONG = 100_000, 1_000_000
 U = np.uint64
 #: 8 bits of each byte value, least first.
 BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -51,7 +53,7 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U(31))
 
 
-def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
+def shingle_hashes(text: str, shingle: int, stretch: int = STRETCH) -> Iterator[np.ndarray]:
     """XXH64 of a text's shingles, in stretches."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z are lowered, only ASCII gaps split
     if not words:
@@ -64,8 +66,8 @@ def shingle_hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
     end = np.cumsum(size + 1) - 1
     first, last = (end - size)[: len(words) - shingle + 1], end[shingle - 1 :]
     digest = xxhash.xxh64_intdigest
-    for k in range(0, len(first), 100_000):
-        yield np.array([digest(joined[a:b], SEED) for a, b in zip(first[k : k + 100_000].tolist(), last[k : k + 100_000].tolist(), strict=True)], dtype=U)
+    for k in range(0, len(first), stretch):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(first[k : k + stretch].tolist(), last[k : k + stretch].tolist(), strict=True)], dtype=U)
 
 
 def majority(hashes: np.ndarray, owner: np.ndarray, count: int, lanes: int) -> np.ndarray:
@@ -80,7 +82,7 @@ def majority(hashes: np.ndarray, owner: np.ndarray, count: int, lanes: int) -> n
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bool = False, stretch: int = STRETCH, long: int = LONG) -> DataFrame:
     """doc_id and fp (8 bytes a lane, most significant first) of each row; distinct: repeated shingles count once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -103,31 +105,29 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bo
 
             pending = 0
             for k, text in enumerate(batch.column("text")):
-                parts = shingle_hashes(text.as_py() or "", shingle)
+                parts = shingle_hashes(text.as_py() or "", shingle, stretch)
                 if distinct and len(many := list(parts)):
                     once = np.unique(np.concatenate(many))
-                    parts = (once[a : a + 100_000] for a in range(0, len(once), 100_000))
+                    parts = (once[a : a + stretch] for a in range(0, len(once), stretch))
                 total, counted = 0, None
+                own: list[np.ndarray] = []
                 for h in parts:
-                    if total + len(h) > 1_000_000:  # a very long text is summed on its own, stretch by stretch
-                        if counted is None:
-                            flush(k)
-                            counted = majority(np.concatenate(held) if held else np.empty(0, U), np.zeros(total, np.int64), 1, lanes) if held else np.zeros((1, lanes, 64), np.int64)
-                        counted = counted + majority(h, np.zeros(len(h), np.int64), 1, lanes)
-                    else:
-                        held.append(h)
-                        owner.append(k - start)
+                    own.append(h)
                     total += len(h)
-                pending += total
+                    if total > long:  # a very long text is summed on its own, stretch by stretch
+                        whole = np.concatenate(own)
+                        more = majority(whole, np.zeros(len(whole), np.int64), 1, lanes)
+                        counted, own = more if counted is None else counted + more, []
                 if counted is not None:
-                    own = [h for h, o in zip(held, owner, strict=True) if o == k - start]
-                    if own:
-                        counted = counted + majority(np.concatenate(own), np.zeros(sum(map(len, own)), np.int64), 1, lanes)
-                    held, owner = [], []
+                    flush(k)
                     sums.append(counted)
                     sizes.append(np.array([total]))
                     start, pending = k + 1, 0
-                elif pending >= 200_000:
+                    continue
+                held += own
+                owner += [k - start] * len(own)
+                pending += total
+                if pending >= 200_000:
                     flush(k + 1)
                     pending = 0
             flush(batch.num_rows)

@@ -131,6 +131,17 @@ def test_simhash(spark, corpus):
     assert got == {i: (f"{fp[i]:016x}", groups[i]) for i in fp}
 
 
+@pytest.mark.parametrize("distinct", [False, True])
+def test_long_texts_are_summed_whole(spark, distinct):
+    rng = random.Random(8)
+    long = lambda n: " ".join(f"w{rng.randint(0, 999)}" for _ in range(n))
+    rows = [(k, t, "a") for k, t in enumerate([long(95), "one", long(30), long(260), long(64), "", long(131), long(63), long(40)])]
+    got = {r.doc_id: r.fp.hex() for r in simhash.fingerprints(docs(spark, rows, 1), distinct=distinct, stretch=10, long=60).collect()}
+    assert got == {i: f"{fingerprint(t):016x}" for i, t, _ in rows}
+    again = {r.doc_id: r.fp.hex() for r in simhash.fingerprints(docs(spark, rows[::-1], 1), distinct=distinct, stretch=10, long=60).collect()}
+    assert again == got
+
+
 def test_simhash_tiles_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
     rng = random.Random(5)
