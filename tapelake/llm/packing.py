@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from bisect import insort
 from collections.abc import Iterator
@@ -29,6 +30,9 @@ from tapelake.llm.common import pick
 
 TOKENIZER = "byte_bpe_50k.json"
 BLOCK = 2048
+#: Whitespace characters in a row beyond which a run is encoded on its own: tiktoken's regex fails near a million.
+RUN = 100_000
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,6 +56,21 @@ def encoder(path: str | None):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(tokens, text: str, run: int = RUN) -> list[int]:
+    r"""Ids of a text, whitespace runs of more than `run` characters cut as the pattern would cut them.
+
+    The pattern takes such a run whole at the text's end (\s+(?!\S)) and else all but its last character, which goes on
+    with what follows; no token reaches into the run from before.
+    """
+    ids, at = [], 0
+    for found in re.finditer(f"{SPACE}{{{run + 1},}}", text) if len(text) > run else ():
+        end = found.end() - (found.end() < len(text))
+        ids += tokens.encode_ordinary(text[at : found.start()])
+        ids += tokens._encode_single_piece(text[found.start() : end])
+        at = end
+    return ids + tokens.encode_ordinary(text[at:])
+
+
 def difference(sizes: list[int], windows: int) -> list[tuple[int, list[int]]]:
     """Multiway differencing: (sum, members) for each non-empty window, ascending by sum."""
     first = lambda slot: slot[0]
@@ -106,7 +125,7 @@ def pack(docs: DataFrame, capacity: int = 1024, piece: int = 512, block: int = B
     ddl = f"doc_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_ordinary
+        tokens = encoder(tokenizer)
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 33
         made = 0
@@ -135,7 +154,7 @@ def pack(docs: DataFrame, capacity: int = 1024, piece: int = 512, block: int = B
             arrow_id = batch.schema.field("doc_id").type
             ids_of_docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for name, text in zip(ids_of_docs, texts, strict=True):
-                got = encode(text.as_py() or "")
+                got = encode(tokens, text.as_py() or "")
                 got.append(end_id)
                 ids = np.array(got, dtype="<u4")
                 for start, length in cut(len(ids), capacity, piece):

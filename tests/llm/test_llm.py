@@ -274,6 +274,23 @@ def test_packing_round_trip(spark, corpus):
         assert g.length.sum() <= 256 and g.offset.tolist() == np.r_[0, np.cumsum(g.length)[:-1]].tolist()
 
 
+def test_packing_takes_long_whitespace(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = lambda t: ref.encode(t, add_special_tokens=False).ids
+    texts = ["a" + " " * 1_200_000 + "b  c", "\n" * 1_100_000, "x \t" + " \u3000\n" * 400_000 + "\n'll"]
+    got = packing.pack(docs(spark, [(k, t, "a") for k, t in enumerate(texts)]), with_ids=True).orderBy("doc_id", "start").collect()
+    for k, text in enumerate(texts):
+        assert [x for r in got if r.doc_id == k for x in r.ids] == [*want(text), 0]
+    tokens = packing.encoder(None)
+    rng = random.Random(3)
+    for _ in range(300):  # runs of all kinds, cut from a length of 3 on
+        text = "".join(rng.choice([" ", "  ", "\n", "\xa0", "\x1c", "\x85", " \t \n", "a", "é", "7", "'s", "!", "\u2003 "]) for _ in range(rng.randint(0, 40)))
+        assert packing.encode(tokens, text, 2) == want(text)
+
+
 def test_differencing_balances():
     sizes = np.random.default_rng(0).integers(1, 300, 500).tolist()
     slots = packing.difference(sizes, 80)
