@@ -5,9 +5,13 @@ in at most `radius` bits are linked, and links are closed to components.
 
 Candidates meet by keys: with b blocks of a fingerprint of which e must be equal whenever at most b - e bits differ, all
 choices of e blocks as keys lose no link (64 bits, radius 4: five blocks and one equal, more as the corpus grows, so
-that a key's rows stay few). Wide fingerprints (lanes > 1) with large radius use keys of sampled bits, as many as a
-stated recall at the stated bit similarity needs; their links are checked on the shingle sets. A key with more rows than TILE is dealt to pairs of parts, which are
-compared in tasks of their own, so nothing is skipped.
+that a key's rows stay few). A key with more rows than TILE is dealt to pairs of parts, which are compared in tasks of
+their own, so nothing is skipped.
+
+Groups by Jaccard similarity s meet by prefixes: with all shingles in one order, rare ones first, sets of similarity s
+share one of the first n - ceil(s n) + 1 of each, so no pair is lost to the keys. Sets of up to SMALL shingles are
+compared by parities of 256 buckets, which differ in no more places than the sets do in shingles, so that the bound
+loses nothing either; larger ones by wide fingerprints (lanes > 1) within a radius. Links are checked on the sets.
 
 Within a key, fingerprints are held as bit planes: plane p has bit p of 64 fingerprints in a word. All pairs at offset d
 are compared at once: planes are xored with themselves shifted by d, and the differing bits are summed by carry-save
@@ -38,6 +42,10 @@ SEED = 42
 TILE = 4096
 #: Rows and bytes of shingle sets of half a tile, about.
 SET_TILE, SET_BYTES = 512, 8 << 20
+#: Sets of up to SMALL shingles are compared by parities.
+SMALL = 400
+#: Of one document in SAMPLE, shingles that COMMON have come last in the order, at most MOST of them.
+SAMPLE, COMMON, MOST = 16, 8, 50_000
 #: Shingles that are hashed at once, and beyond which a text is summed on its own.
 STRETCH, LONG = 100_000, 1_000_000
 U = np.uint64
@@ -82,9 +90,45 @@ def majority(hashes: np.ndarray, owner: np.ndarray, count: int, lanes: int) -> n
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bool = False, stretch: int = STRETCH, long: int = LONG) -> DataFrame:
-    """doc_id and fp (8 bytes a lane, most significant first) of each row; distinct: repeated shingles count once."""
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """256 of 0/1: whether a bucket holds an odd number of the hashes. Two sets' parities differ in no more places than the sets."""
+    return (np.bincount((mix(hashes) % U(256)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of common shingles, rarer ones first, and about how many documents have each, from a sample of documents."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("text"):
+                parts = list(shingle_hashes(text.as_py() or "", shingle))
+                if parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(parts)).view(np.int64))], names=["h"])
+
+    sample = pick(docs, "doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(sets, "h long")
+    found = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.col("n").desc(), "h").limit(MOST).collect()
+    return np.array([r["h"] for r in reversed(found)], np.int64).view(U), np.array([r["n"] for r in reversed(found)], np.int64) * SAMPLE
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of a set's ascending hashes the first in order that sets of the similarity share one of; common: ascending, rank: its order."""
+    size = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    if not len(common) or not len(hashes):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    late = common[at] == hashes
+    return np.concatenate([hashes[~late], hashes[late][np.argsort(rank[at[late]])]])[:size]
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bool = False, stretch: int = STRETCH, long: int = LONG, similarity: float | None = None, common: np.ndarray | None = None) -> DataFrame:
+    """doc_id and fp (8 bytes a lane, most significant first) of each row; distinct: repeated shingles count once.
+
+    With `similarity` (and `distinct`) also the number of shingles, their prefix (8 bytes a shingle) and parity.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    common = np.empty(0, U) if common is None else common
+    rank = np.argsort(common)
+    common = common[rank]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,6 +136,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bo
             held: list[np.ndarray] = []
             owner: list[int] = []
             start = 0
+            set_of: list[tuple[int, bytes, bytes]] = []
 
             def flush(end: int) -> None:
                 nonlocal start, held, owner
@@ -109,6 +154,9 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bo
                 if distinct and len(many := list(parts)):
                     once = np.unique(np.concatenate(many))
                     parts = (once[a : a + stretch] for a in range(0, len(once), stretch))
+                if similarity is not None:
+                    own_set = once if len(many) else np.empty(0, U)
+                    set_of.append((len(own_set), prefix(own_set, similarity, common, rank).tobytes(), np.packbits(parity(own_set)).tobytes()))
                 total, counted = 0, None
                 own: list[np.ndarray] = []
                 for h in parts:
@@ -135,9 +183,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bo
                 ones = 2 * np.concatenate(sums) > np.concatenate(sizes)[:, None, None]
                 value = np.packbits(ones.reshape(batch.num_rows, lanes, 64)[:, :, ::-1], axis=2)  # most significant first
                 flat = value.reshape(batch.num_rows, lanes * 8)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([row.tobytes() for row in flat], pa.binary())], names=["doc_id", "fp"])
+                more = [pa.array([x[k] for x in set_of], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))] if similarity is not None else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([row.tobytes() for row in flat], pa.binary()), *more], names=["doc_id", "fp", "n", "prefix", "parity"][: 2 + len(more)])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary")
+    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary" + (", n long, prefix binary, parity binary" if similarity is not None else ""))
 
 
 def block_keys(rows: int, radius: int, bits: int = 64) -> list[np.ndarray]:
@@ -150,14 +199,6 @@ def block_keys(rows: int, radius: int, bits: int = 64) -> list[np.ndarray]:
     return keys
 
 
-def sampled_keys(rows: int, bits: int, differ: float, recall: float, seed: int = SEED) -> list[np.ndarray]:
-    """Bit positions of sampled keys: as many as find a pair whose bits differ with probability `differ` with `recall`."""
-    width = max(16, math.ceil(math.log2(max(1, rows) / 64)))
-    count = math.ceil(math.log(1 - recall) / math.log(1 - (1 - differ) ** width))
-    rng = np.random.default_rng(seed)
-    return [np.sort(rng.choice(bits, width, replace=False)) for _ in range(count)]
-
-
 def planes_of(bits: np.ndarray) -> np.ndarray:
     """(rows, bits) of 0/1 to (bits, words): word w of a plane has the bit of rows 64w..64w+63; two spare words at the end."""
     n = len(bits)
@@ -307,6 +348,110 @@ def links(nodes: DataFrame, radius: int, keys: list[np.ndarray], lanes: int) ->
     return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long")
 
 
+def near_sets(group: np.ndarray, n: np.ndarray, sketch: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Labels (least row of the set) of rows sorted by group, sets being rows of a group linked as may be similar.
+
+    n: shingles, negative where the sketch (four words) is a fingerprint, linked within the radius, and not a parity.
+    """
+    labels = np.arange(len(group))
+    border = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.empty(0, np.int64)
+    size = np.diff(np.r_[border, len(group)])
+    run = np.repeat(np.arange(len(border)), size)
+    rows = np.flatnonzero(size[run] > 1)
+    share, d = (1 - similarity) / (1 + similarity), 1
+    while len(rows):
+        own, count, sketches = run[rows], np.abs(n[rows]), sketch[rows]
+        wide = n[rows] < 0
+        for offset in range(d, min(2 * d, len(rows))):
+            at = np.flatnonzero(own[offset:] == own[:-offset])
+            if not len(at):
+                break
+            x, y = count[at], count[at + offset]
+            at = at[np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9]
+            far = np.bitwise_count(sketches[at] ^ sketches[at + offset]).sum(axis=1, dtype=np.int64)
+            hit = at[far <= np.where(wide[at], radius, share * (count[at] + count[at + offset]) + 1e-9)]
+            labels = unite(labels, rows[hit], rows[hit + offset])
+        d *= 2
+        # groups that are one set already, or have no pair further apart, are done
+        split = np.zeros(len(border), bool)
+        split[run[rows[labels[rows] != labels[border[run[rows]]]]]] = True
+        rows = rows[split[run[rows]] & (size[run[rows]] > d)]
+    return labels
+
+
+def set_links(nodes: DataFrame, radius: int, similarity: float, common: np.ndarray, often: np.ndarray) -> DataFrame:
+    """u, v: a forest over nodes (node, fp, n, prefix, parity) that links all that may be similar and share a shingle of their prefixes.
+
+    Sets of up to SMALL shingles meet by parity, those that may meet a larger one by fingerprint. Shingles that are in
+    many documents (`often`, about) are dealt to pairs of parts.
+    """
+    order = np.argsort(common)
+    known, dealt = common[order], -(-often[order] // TILE)
+    small = SMALL
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            made = 0
+
+            def rows() -> pa.RecordBatch:
+                g, node, n, sketch = zip(*out, strict=True)
+                many = [len(x) for x in g]
+                body = np.repeat(np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, 32), many, axis=0)
+                ends = pa.py_buffer(np.arange(0, 32 * len(body) + 1, 32, dtype=np.int32))
+                arrays = [pa.array(np.concatenate(g).view(np.int64)), pa.array(np.repeat(node, many)), pa.array(np.repeat(n, many)), pa.Array.from_buffers(pa.binary(), len(body), [None, ends, pa.py_buffer(body)])]
+                return pa.RecordBatch.from_arrays(arrays, names=["g", "node", "n", "sketch"])
+
+            for node, fp, n, first, odd in zip(*(batch.column(c).to_pylist() for c in ("node", "fp", "n", "prefix", "parity")), strict=True):
+                key = np.frombuffer(first, U)
+                if len(known) and len(key):
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    parts = np.where(known[at] == key, dealt[at], 1).astype(U)
+                    key = np.repeat(key, parts.astype(np.int64))
+                    parts = np.repeat(parts, parts.astype(np.int64))
+                    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+                    other = (np.arange(len(key)) - np.repeat(starts, np.diff(np.r_[starts, len(key)]))).astype(U)
+                    mine = mix(np.array([node], np.int64).view(U))[0] % parts
+                    key = mix(key + mix(np.minimum(mine, other) * parts + np.maximum(mine, other)))
+                if not len(key):
+                    continue
+                if n <= small:
+                    out.append((key, node, n, odd))
+                    made += len(key)
+                if n >= math.floor(similarity * (small + 1)):
+                    out.append((mix(key + U(1)), node, -n, fp))
+                    made += len(key)
+                if made >= 20_000:
+                    yield rows()
+                    out, made = [], 0
+            if out:
+                yield rows()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, node, n, sketch = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 4), U)
+
+        def done(end: int) -> pa.RecordBatch:
+            nonlocal g, node, n, sketch
+            labels = near_sets(g[:end], n[:end], sketch[:end], radius, similarity)
+            low = np.flatnonzero(labels != np.arange(end))
+            a, b = node[:end][low], node[:end][labels[low]]
+            g, node, n, sketch = g[end:], node[end:], n[end:], sketch[end:]
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+
+        for batch in batches:
+            g, node, n = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in ((g, "g"), (node, "node"), (n, "n")))
+            sketch = np.concatenate([sketch, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), U).reshape(-1, 4)])
+            if len(g) >= 30_000:
+                end = int(np.searchsorted(g, g[-1]))  # the last group may go on
+                if end:
+                    yield done(end)
+        if len(g):
+            yield done(len(g))
+
+    rows = nodes.select("node", "fp", "n", "prefix", "parity").mapInArrow(keyed, "g long, node long, n long, sketch binary")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long").where("u != v")
+
+
 def shingle_sets(edges: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """node, hashes (8 bytes a shingle, ascending, once each) of the documents at the ends of edges."""
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
@@ -342,27 +487,51 @@ def alike(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return edges.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(near, "u long, v long")
 
 
-def join_sets(node: np.ndarray, side: np.ndarray, part: np.ndarray, fp: list[bytes], hashes: list[bytes], radius: int, similarity: float) -> list[tuple[int, int]]:
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each pair of sets shares: common ones by products of incidence matrices, others pair by pair."""
+    n, frequent = len(sets), 16
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    found, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros(n * n, np.int64)
+    rare = (count[column] > 1) & (count[column] < frequent)
+    own, col = owner[rare], column[rare]
+    for d in range(1, frequent):
+        at = np.flatnonzero(col[d:] == col[:-d])
+        if not len(at):
+            break
+        both += np.bincount(own[at] * n + own[at + d], minlength=n * n)
+    both = both.reshape(n, n)
+    both += both.T
+    dense = np.flatnonzero(count >= frequent)
+    own, col = owner[count[column] >= frequent], column[count[column] >= frequent]
+    for k in range(0, len(dense), 4096):
+        some = dense[k : k + 4096]
+        low, high = np.searchsorted(col, [some[0], some[-1] + 1])
+        held = np.zeros((n, len(some)), np.float32)
+        held[own[low:high], np.searchsorted(some, col[low:high])] = 1
+        both += (held @ held.T).astype(np.int64)
+    return both
+
+
+def join_sets(node: np.ndarray, side: np.ndarray, part: np.ndarray, hashes: list[bytes], similarity: float) -> list[tuple[int, int]]:
     """Links between rows of different parts, each of which joins two sets; rows of two sides are compared across them only."""
-    n, made = len(node), []
-    bits = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(n, -1), axis=1)
-    labels = np.unique(part, return_inverse=True)[1]
-    planes, across = planes_of(bits), len(np.unique(side)) > 1
-    words = -(-n // 64)
-    for d in range(1, n):
-        valid = np.zeros(words * 64, np.uint8)
-        valid[: n - d] = (labels[d:] != labels[:-d]) & ((side[d:] != side[:-d]) | (not across))
-        if valid.any():
-            hit = near_at(planes, d, np.packbits(valid, bitorder="little").view("<u8"), radius)
-            for i in np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little")).tolist():
-                low, high = sorted((labels[i], labels[i + d]))
-                if low != high and jaccard(hashes[i], hashes[i + d]) >= similarity:
-                    labels[labels == high] = low
-                    made.append((int(node[i]), int(node[i + d])))
+    made, labels = [], np.unique(part, return_inverse=True)[1]
+    sets = [np.frombuffer(h, U) for h in hashes]
+    size, both = np.array([len(x) for x in sets]), overlaps(sets)
+    near = both / np.maximum(1, size[:, None] + size[None, :] - both) >= similarity
+    if len(np.unique(side)) > 1:
+        near &= side[:, None] != side[None, :]
+    for i in range(len(node)):
+        while len(others := np.flatnonzero(near[i] & (labels != labels[i]))):
+            low, high = sorted((labels[i], labels[others[0]]))
+            labels[labels == high] = low
+            made.append((int(node[i]), int(node[others[0]])))
     return made
 
 
-def settled(nodes: DataFrame, tried: DataFrame, parts: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+def settled(tried: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """u, v: what joins the parts (node, root: components of the checked links) of each component of `tried`.
 
     `tried` is a forest, so that a pair of alike documents may have no edge of its own. Components that checked edges
@@ -377,18 +546,18 @@ def settled(nodes: DataFrame, tried: DataFrame, parts: DataFrame, sets: DataFram
     dealt = members.join(mixed, "root").withColumn("side", mine)
     tile = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.least("side", o) * F.col("tiles") + F.greatest("side", o))
     dealt = dealt.select("root", F.explode(tile).alias("tile"), "node", "side", "part").select(F.xxhash64("root", "tile").alias("g"), "node", "side", "part")
-    rows = dealt.join(nodes, "node").join(sets, "node").select("g", "node", "side", "part", "fp", "hashes")
+    rows = dealt.join(sets, "node").select("g", "node", "side", "part", "hashes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            _, node, side, part, fp, hashes = zip(*held, strict=True)
-            made = join_sets(np.array(node), np.array(side), np.array(part), list(fp), list(hashes), radius, similarity)
+            _, node, side, part, hashes = zip(*held, strict=True)
+            made = join_sets(np.array(node), np.array(side), np.array(part), list(hashes), similarity)
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in made], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "node", "side", "part", "fp", "hashes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("g", "node", "side", "part", "hashes")), strict=True):
                 if held and held[0][0] != row[0]:
                     yield done()
                     held = []
@@ -427,23 +596,25 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, slack: float = 3.0, recall: float = 0.97) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 5.0) -> DataFrame:
     """doc_id, fp, component_id: groups of documents of a Jaccard similarity of shingles.
 
-    Wide fingerprints of the shingle sets find the candidates: the radius is the expected distance at `similarity` plus
-    `slack` standard deviations, sampled keys find a pair at `similarity` with `recall`. Links are then checked on the
-    sets, and candidates' components that this leaves in parts are compared whole.
+    Sets that share a shingle of their prefixes are candidates unless a bound rules them out: parities for sets of up to
+    SMALL shingles, which lose none; for larger ones wide fingerprints, with a radius of the expected distance at
+    `similarity` plus `slack` standard deviations. Links are then checked on the sets, and candidates' components that
+    this leaves in parts are compared whole.
     """
-    share, bits = differing_share(similarity), lanes * 64
+    share, lanes = differing_share(similarity), 4
+    bits = lanes * 64
     radius = int(share * bits + slack * math.sqrt(bits * share * (1 - share)))
-    prints = written(fingerprints(docs, shingle, lanes, distinct=True), "prints")
-    nodes = nodes_of(prints)
-    linkable = nodes.where("node IS NOT NULL").select("node", "fp")
-    tried = written(links(linkable, radius, sampled_keys(linkable.count(), bits, share, recall), lanes).distinct(), "links")
+    common, often = common_shingles(docs, shingle)
+    prints = written(fingerprints(docs, shingle, lanes, distinct=True, similarity=similarity, common=common), "prints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n", "prefix", "parity"), "doc_id").alias("s")).select("fp", "node", "s.*"), "nodes")
+    tried = written(set_links(nodes.where("node IS NOT NULL"), radius, similarity, common, often).distinct(), "links")
     sets = shingle_sets(tried, docs, shingle)
     parts = components(alike(tried, sets, similarity))
     stars = parts.select(F.col("node").alias("u"), F.col("root").alias("v"))  # closed already, so that few steps are left
-    return components_by_print(prints, nodes, stars.union(settled(linkable, tried, parts, sets, radius, similarity)))
+    return components_by_print(prints.select("doc_id", "fp"), nodes.select("fp", "node"), stars.union(settled(tried, parts, sets, similarity)))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -217,6 +217,28 @@ def test_similar_groups_lose_no_link(spark, monkeypatch, tile, size):
     assert got == want and got[501] == 501
 
 
+@pytest.mark.parametrize("common", [8, 1])
+def test_similar_pairs_are_all_found(spark, monkeypatch, common):
+    if common == 1:  # common shingles last, and dealt to parts
+        monkeypatch.setattr(simhash, "SAMPLE", 2)
+        monkeypatch.setattr(simhash, "TILE", 8)
+        monkeypatch.setattr(simhash, "COMMON", 2)
+    rng = random.Random(9)
+    rows, want = [], set()
+    line = " ".join(f"line{k}" for k in range(12))
+    for k in range(400):  # pairs alone in their groups, at 0.8 (each second one just below), of 5 to 640 shingles
+        n = 5 * rng.choice([1, 2, 3, 5, 8, 16, 40, 63, 64, 70, 79, 80, 81, 100, 128])
+        words = [f"w{rng.getrandbits(40)}" for _ in range(n + 4)]
+        if n >= 40 and k % 3 == 0:
+            words[2:14] = line.split()
+        less = n // 5 + k % 2
+        rows += [(2 * k, " ".join(words), "a"), (2 * k + 1, " ".join(words[:-less]), "a")]
+        if k % 2 == 0:
+            want.add(2 * k + 1)
+    got = {r.doc_id for r in simhash.similar_groups(docs(spark, rows)).where("doc_id != component_id").collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("digest", [exact_dedup.sha256_digest, lambda t: F.unhex(F.lpad(F.hex(F.length(t) % 5), 2, "0"))])
 def test_exact_dedup(spark, corpus, digest):
     rows = [*corpus, (5, corpus[5][1], "z"), (None, "one", "a"), (None, "alone", "a")]
