@@ -10,7 +10,8 @@ The query set is stated (ids divisible by `every`) and meets all rows in blocks:
 group of candidate blocks, a task holds one pair of blocks at a time.
 
 Rules: vectors that are null, empty, or hold a null, NaN or infinite component take no part, nor do null ids; vectors
-of different length are never compared; rows that repeat a query's id are its own; an empty table gives an empty result.
+of different length are never compared; rows that repeat a query's id are its own; repeated rows each count, as queries
+and as candidates; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -130,6 +131,6 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, que
                 a, b, s = zip(*got, strict=True) if got else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long").distinct()
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -364,6 +364,17 @@ def test_topk(spark):
     assert got == {q: w for q, w in want.items() if w}
 
 
+@pytest.mark.parametrize("block", [8, 2048])
+def test_topk_counts_repeated_rows(spark, block):
+    rng = np.random.default_rng(4)
+    rows = [(k, rng.normal(size=8).round(1).tolist()) for k in range(120)]
+    rows += [(201, [9.0] * 8)] * 9 + [(50, rows[50][1])] + [(202, [5.0] * 8)] * 2
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    embeddings = table.toPandas()  # noqa: F841
+    want = duckdb.sql(queries.ORACLES["op10_topk"]).fetchall()
+    assert sorted(map(tuple, topk.top_k(table, block=block).collect())) == sorted(want)
+
+
 OPERATORS = {
     "passages": lambda d: passages.repeated_passages(d), "suffixes": lambda d: suffixes.repeated_bytes(d), "simhash": lambda d: simhash.near_dedup(d), "keep_one": lambda d: simhash.keep_one(d), "exact": lambda d: exact_dedup.exact_dedup(d),
     "shards": lambda d: shards.shard_documents(d), "mixture": lambda d: mixture.mix_documents(d), "mix": lambda d: mixture.mix(d), "packing": lambda d: packing.pack(d),
