@@ -16,7 +16,6 @@ own, so that the copies count as places of their own; an empty table gives an em
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,12 +53,13 @@ def contexts(raw: bytes, window: int, gram: int) -> tuple[np.ndarray, ...]:
         h = stretches(sums[0], np.arange(len(part) - gram + 1), gram, BASES[0])
         place = np.arange(len(h), dtype=U)
         least = sliding_min((h & ~U(0xFFFFFFFF)) | place, window - gram + 1)
-        value, where = least >> U(32), (least & U(0xFFFFFFFF)).astype(np.int64)
+        where = (least & U(0xFFFFFFFF)).astype(np.int64)
+        value = h[where]  # whole: grams may agree in the upper half alone
         first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
         last = np.r_[first[1:], len(value)] - 1
         length = last - first + window
         digest = [stretches(sums[k], first, length, BASES[k]) for k in range(2)]
-        out.append((h[where[first]], *digest, first + at, last + at, where[first] != where[last]))
+        out.append((value[first], *digest, first + at, last + at, where[first] != where[last]))
     if not out:
         return tuple(np.empty(0, k) for k in (U, U, U, np.int64, np.int64, bool))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -222,7 +222,7 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
 
     found = sent.groupBy("block").applyInArrow(find, "m long, c1 long, c2 long, strings long, lo array<long>, hi array<long>")
     spans = places.join(found, key).select("doc_id", "th", F.transform(F.arrays_zip("lo", "hi"), lambda s: F.struct((s["lo"] + F.col("a")).alias("s"), (s["hi"] + F.col("a") + (window - 1)).alias("e"))).alias("x"))
-    of_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.flatten(F.collect_list("x")).alias("x"))
+    of_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.flatten(F.collect_set("x")).alias("x"))  # a set: rows that repeat a document give the same spans
     last = held.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("doc_id", "text", "x")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,6 +252,3 @@ def repeated_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bloc
 
     return last.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<array<long>>")
 
-
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
