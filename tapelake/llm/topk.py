@@ -11,11 +11,13 @@ group of candidate blocks, a task holds one pair of blocks at a time.
 
 Rules: vectors that are null, empty, or hold a null, NaN or infinite component take no part, nor do null ids; vectors
 of different length are never compared; rows that repeat a query's id are its own; repeated rows each count, as queries
-and as candidates; an empty table gives an empty result.
+and as candidates; an empty table gives an empty result. Components of any finite size count exactly; a score beyond 64
+bits is the nearest 64-bit value, and ranks go by that; a vector whose scaled components overflow a double takes no part.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,9 @@ from tapelake.llm.common import pick
 
 LEVELS = (1, 4, 16)
 EXACT = 2.0**53
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+#: Query blocks of which a task remembers the k-th best scores.
+REMEMBERED = 64
 
 
 def stats(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,37 +40,56 @@ def stats(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     edge = np.linspace(0, x.shape[1], parts + 1).astype(int)
     edge = np.unique(edge)
     length = np.diff(edge).astype(float)
-    mean = np.add.reduceat(x, edge[:-1], axis=1) / length
-    square = np.add.reduceat(x * x, edge[:-1], axis=1) / length
-    return length, mean, np.sqrt(np.maximum(square - mean * mean, 0))
+    with np.errstate(over="ignore", invalid="ignore"):
+        mean = np.add.reduceat(x, edge[:-1], axis=1) / length
+        square = np.add.reduceat(x * x, edge[:-1], axis=1) / length
+        dev = np.sqrt(np.maximum(square - mean * mean, 0) + 1e-12 * square)  # at least the true one, whatever is lost to rounding
+    return length, mean, dev
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products of all rows of q and x."""
-    if x.size and q.size and np.abs(q).max() * np.abs(x).max() * q.shape[1] < EXACT:
-        return (q @ x.T).astype(np.int64)
-    return np.array([[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x] for u in q], dtype=object).reshape(len(q), len(x))
+    """Integer inner products of all rows of q and x, within 64 bits: by floats where these are exact, else by whole numbers."""
+    if not q.size or not x.size:
+        return np.zeros((len(q), len(x)), np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        large = ~(np.abs(q).max(axis=1)[:, None] * np.abs(x).max(axis=1)[None, :] * q.shape[1] < EXACT)
+        product = q @ x.T
+    out = np.where(large, 0, product).astype(np.int64)
+    for i, j in np.argwhere(large).tolist():
+        out[i, j] = min(MOST, max(LEAST, sum(int(a) * int(b) for a, b in zip(q[i].tolist(), x[j].tolist(), strict=True))))
+    return out
+
+
+def below(score: int) -> float:
+    """The greatest float that is surely less than the score; scores at the lower end of 64 bits tie with all beyond it."""
+    return -np.inf if score <= LEAST else float(np.nextafter(float(score), -np.inf))
+
 
+def best_of(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, known: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """(query id, candidate id, score): the k best of this block for each query, of those that can be among the k best of all.
 
-def best_of(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score): the k best of this block for each query."""
+    known: for each query the k-th best score so far; it is raised to that of this block.
+    """
     if not len(q) or not len(x):
         return []
     alive = q_ids[:, None] != x_ids[None, :]
-    least = np.full(len(q), -np.inf)
+    least = np.full(len(q), -np.inf) if known is None else known
     # k rows of greatest coarse bound give the first k-th best scores
     for level in LEVELS:
         length, mq, dq = stats(q, level)
         _, mx, dx = stats(x, level)
-        bound = (mq * length) @ mx.T + (dq * length) @ dx.T
-        bound += 1e-6 + 1e-9 * np.abs(bound)
+        with np.errstate(over="ignore", invalid="ignore"):
+            bound = (mq * length) @ mx.T + (dq * length) @ dx.T
+            slack = np.abs(mq * length) @ np.abs(mx).T + (dq * length) @ dx.T  # rounding follows the terms, not their sum
+            bound += 1e-6 + 1e-9 * slack
+        bound = np.where(np.isnan(bound), np.inf, bound)  # beyond a double nothing is ruled out
         if level == LEVELS[0]:
             width = min(len(x), 4 * k)
             seeds = np.argpartition(-np.where(alive, bound, -np.inf), width - 1, axis=1)[:, :width]
             for i in range(len(q)):
                 own = seeds[i][alive[i, seeds[i]]]
                 if len(own) >= k:
-                    least[i] = np.sort(exact_scores(q[i : i + 1], x[own])[0].astype(float))[-k]
+                    least[i] = max(least[i], below(int(np.sort(exact_scores(q[i : i + 1], x[own])[0])[-k])))
         alive &= bound >= least[:, None]
     out = []
     share = alive.mean()
@@ -75,11 +99,13 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray,
         if not len(own):
             continue
         s = dense[i, own] if dense is not None else exact_scores(q[i : i + 1], x[own])[0]
-        if len(own) > 4 * k and s.dtype != object:  # all that reach the k-th best, ties too
+        if len(own) > 4 * k:  # all that reach the k-th best, ties too
             keep = s >= np.partition(s, len(s) - k)[len(s) - k]
             own, s = own[keep], s[keep]
-        first = sorted(zip((-s).tolist(), x_ids[own].tolist(), strict=True))[:k]
-        out += [(int(q_ids[i]), int(c), -int(t)) for t, c in first]
+        first = sorted((-t, c) for t, c in zip(s.tolist(), x_ids[own].tolist(), strict=True))[:k]
+        if len(first) == k:
+            least[i] = max(least[i], below(-first[-1][0]))
+        out += [(int(q_ids[i]), int(c), -t) for t, c in first]
     return out
 
 
@@ -114,20 +140,25 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, que
     """query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     x = F.col("embedding")
-    whole = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    whole = lambda v: v.isNull() | F.isnan(v) | (F.abs(v.cast("double") * scale) == float("inf"))
     rows = pick(vectors, "vec_id", "embedding").where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(F.exists(x, whole), F.lit(True)))
     chosen = rows.where(F.col("vec_id") % every == 0)
     n = chosen.count()
-    groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    queries = blocks(chosen.repartition(max(1, -(-n // query_block))), query_block, scale).select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    groups = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * every // block)))  # no more than there are blocks, about
+    queries = blocks(chosen.repartition(max(1, -(-n // query_block))), query_block, scale).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     data = blocks(rows, block, scale).withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    pairs = data.join(queries, ["dim", "g"]).select("dim", "q_ids", "q", "ids", "vectors")
+    pairs = data.join(queries, ["dim", "g"]).select("dim", "q_block", "q_ids", "q", "ids", "vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kth: OrderedDict[tuple, np.ndarray] = OrderedDict()
         for batch in batches:
             for r in range(batch.num_rows):
-                dim, q_ids, q, ids, v = (batch.column(c)[r].as_py() for c in range(5))
-                got = best_of(np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.float64).reshape(-1, dim), np.frombuffer(ids, np.int64), np.frombuffer(v, np.float64).reshape(-1, dim), k)
+                dim, q_block, q_ids, q, ids, v = (batch.column(c)[r].as_py() for c in range(6))
+                known = kth.pop((dim, q_block), None)
+                kth[dim, q_block] = known = np.full(len(q_ids) // 8, -np.inf) if known is None else known
+                if len(kth) > REMEMBERED:
+                    kth.popitem(last=False)
+                got = best_of(np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.float64).reshape(-1, dim), np.frombuffer(ids, np.int64), np.frombuffer(v, np.float64).reshape(-1, dim), k, known)
                 a, b, s = zip(*got, strict=True) if got else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], names=["query_id", "vec_id", "score"])
 
