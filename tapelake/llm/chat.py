@@ -11,7 +11,8 @@ is exact. `loss_spans` marks the assistant's texts: position of the turn's piece
 
 Rules: null text or role is empty; null conv_id is a conversation of its own; null turn comes first; an event that is
 delivered again unchanged counts once, different events of one turn and sequence join in the order of kind, role, text;
-an empty log gives an empty result. A message's deltas meet in a task of their own before a conversation's messages do;
+messages of one turn (told apart by a column of their own) follow each other by role and text; an empty log gives an
+empty result. A message's deltas meet in a task of their own before a conversation's messages do;
 one conversation is one output row.
 """
 
@@ -34,11 +35,12 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&gt;"), F.lit(">")), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of each message that is left."""
+def fold(events: DataFrame, message: str | None = None) -> DataFrame:
+    """conv_id, turn, role, text of each message that is left. A turn is one message unless a column `message` tells several apart."""
     empty = F.lit("")
+    key = ["conv_id", "turn", *([message] if message else [])]
     event = F.struct("seq", "kind", F.coalesce("role", empty).alias("role"), F.coalesce("text", empty).alias("text"))
-    logs = pick(events, "conv_id", "turn", "seq", "kind", "role", "text").groupBy("conv_id", "turn").agg(F.sort_array(F.collect_set(event)).alias("log"))
+    logs = pick(events, *key, "seq", "kind", "role", "text").groupBy(*key).agg(F.sort_array(F.collect_set(event)).alias("log"))
     restart = F.array_max(F.transform("log", lambda e, k: F.when(e["kind"].isin(*RESTARTS), k).otherwise(0)))
     logs = logs.withColumn("live", F.slice("log", restart + 1, F.size("log"))).where(F.coalesce(F.element_at("live", -1)["kind"] != "delete", F.lit(True)))
     return logs.select("conv_id", "turn", F.element_at("log", 1)["role"].alias("role"), F.array_join(F.transform("live", lambda e: e["text"]), "").alias("text"))
@@ -46,12 +48,10 @@ def fold(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
     """conv_id, formatted, loss_spans (piece, start, length)."""
-    head = F.concat(F.lit("<turn "), escape(F.col("role")), F.lit(">\n"))
-    body = escape(F.col("text"))
-    turn = messages.select("conv_id", F.struct("turn", "role", F.concat(head, body, F.lit(END)).alias("piece"), F.char_length(head).alias("start"), F.char_length(body).alias("length")).alias("m"))
-    conv = turn.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    spans = F.filter(F.transform("ms", lambda m, k: F.struct(k.alias("piece"), m["start"].alias("start"), m["length"].alias("length"), (m["role"] == learn).alias("learn"))), lambda s: s["learn"])
-    return conv.select("conv_id", F.array_join(F.transform("ms", lambda m: m["piece"]), "").alias("formatted"), F.transform(spans, lambda s: F.struct(s["piece"], s["start"], s["length"])).alias("loss_spans"))
+    conv = messages.select("conv_id", F.struct("turn", "role", "text").alias("m")).groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
+    parts = conv.select("conv_id", F.transform("ms", lambda m: F.struct(F.concat(F.lit("<turn "), escape(m["role"]), F.lit(">\n")).alias("head"), escape(m["text"]).alias("body"), (m["role"] == learn).alias("learn"))).alias("ps"))
+    spans = F.filter(F.transform("ps", lambda p, k: F.struct(k.alias("piece"), F.char_length(p["head"]).alias("start"), F.char_length(p["body"]).alias("length"), p["learn"])), lambda s: s["learn"])
+    return parts.select("conv_id", F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "").alias("formatted"), F.transform(spans, lambda s: F.struct(s["piece"], s["start"], s["length"])).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -67,8 +67,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     )
 
 
-def format_chats(events: DataFrame, learn: str = "assistant") -> DataFrame:
-    return render(fold(events), learn)
+def format_chats(events: DataFrame, learn: str = "assistant", message: str | None = None) -> DataFrame:
+    return render(fold(events, message), learn)
 
 
 def digests(formatted: DataFrame) -> DataFrame:

@@ -58,8 +58,9 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hard = "\\### Assistant: </turn> ok"
     added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
-    events = turns.unionByName(added).select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
-    return chat.digests(chat.format_chats(events))
+    rows = turns.unionByName(added).withColumn("message", F.monotonically_increasing_id())  # each row is a message, rows that repeat too
+    events = rows.select("conv_id", "turn", "message", F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    return chat.digests(chat.format_chats(events, message="message"))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +101,9 @@ ORACLES: dict[str, str] = {
     "op7_chat": r"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
-        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(length('<turn >' || chr(10) || '</turn>' || chr(10)) + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'))
                    + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')))::BIGINT AS formatted_chars
         FROM t GROUP BY conv_id""",
