@@ -87,12 +87,15 @@ def bradley_terry(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: in
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = np.clip((x - mean) / scale, -8, 8)
     rng = np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+    better, worse = rng.choice(good, pairs), rng.choice(bad, pairs)
     w = np.zeros(width)
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))  # how wrong each pair is
-        grad = d.T @ p / pairs - ridge * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / pairs + ridge * np.eye(width)
+        grad, hess = -ridge * w, ridge * np.eye(width)
+        for at in range(0, pairs, 20_000):
+            d = z[better[at : at + 20_000]] - z[worse[at : at + 20_000]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))  # how wrong each pair is
+            grad += d.T @ p / pairs
+            hess += (d * (p * (1 - p))[:, None]).T @ d / pairs
         step = np.linalg.solve(hess, grad)
         w = w + step
         if np.abs(step).max() < 1e-6:
@@ -119,10 +122,14 @@ def feature_rows(docs: DataFrame, extra: str = "") -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Ranker:
-    """Fits on labelled rows outside the held-out fold, at most `max_labelled` of them, which is what is broadcast and gathered."""
+    """Fits on labelled doc_ids outside the held-out fold, at most `max_labelled` of them, which is what is broadcast and gathered.
+
+    Of rows that repeat a doc_id the greatest text stands for it.
+    """
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("_q")).where("_q != 0.5")
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).select("doc_id", (F.col("_q") > 0.5).cast("int").alias("label"))
-    got = feature_rows(pick(docs, "doc_id", "text").join(F.broadcast(some), "doc_id"), "label").select("label", "x").toPandas()
+    marked = pick(docs, "doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
+    got = feature_rows(marked, "label").toPandas().sort_values("doc_id")  # one order, so that reruns draw the same pairs
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(features("")))
     return bradley_terry(x, got["label"].to_numpy())
 
