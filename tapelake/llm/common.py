@@ -40,11 +40,31 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a written Parquet table: lineage ends here, and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """df as a written Parquet table: lineage ends here, and a lost executor loses nothing. `done` are written tables that nothing else reads."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    drop(*done)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables; others are left alone."""
+    for table in tables:
+        if path := getattr(table, "written_at", None):
+            drop_path(table.sparkSession, path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def beside(small: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
+    """A side of a join: broadcast if its counted rows, of some 100 bytes at most, are few; else as it is."""
+    return F.broadcast(small) if rows <= most else small
 
 
 def total(df: DataFrame, value: Column) -> int:
