@@ -14,17 +14,18 @@ from tapelake.llm.common import written
 FILE_ROWS, LEAST_FILES = 50_000, 12
 
 
-def large_star(edges: DataFrame, files: int) -> DataFrame:
+def large_star(edges: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
+    """The new edges, and the written table that they are read through."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).coalesce(files), "least")
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"), least
 
 
-def small_star(edges: DataFrame, files: int) -> DataFrame:
+def small_star(edges: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = written(down.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "least")
     moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def open_ends(edges: DataFrame) -> tuple[int, int]:
@@ -44,6 +45,10 @@ def components(edges: DataFrame) -> DataFrame:
     rows, left = open_ends(now)
     while left:
         files = max(LEAST_FILES, -(-rows // FILE_ROWS))
-        now = written(small_star(large_star(now, files), files).coalesce(files), "edges")
+        large, least = large_star(now, files)
+        small, lower = small_star(large, files)
+        now = written(small.coalesce(files), "edges", now, least, lower)
         rows, left = open_ends(now)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out.written_at = now.written_at
+    return out

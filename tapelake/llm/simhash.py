@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapelake.llm.common import pick, written
+from tapelake.llm.common import drop, pick, written
 from tapelake.llm.components import components
 
 SEED = 42
@@ -531,15 +531,16 @@ def join_sets(node: np.ndarray, side: np.ndarray, part: np.ndarray, hashes: list
     return made
 
 
-def settled(tried: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def settled(tried: DataFrame, parts: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, list[DataFrame]]:
     """u, v: what joins the parts (node, root: components of the checked links) of each component of `tried`.
 
     `tried` is a forest, so that a pair of alike documents may have no edge of its own. Components that checked edges
-    leave in several parts are compared whole, in pairs of tiles of bounded rows and bytes; only joining links leave a task.
+    leave in several parts are compared whole, in pairs of tiles of bounded rows and bytes; only joining links leave a task. Also the written tables that they are read from.
     """
     parts = parts.select(F.col("node").alias("_n"), F.col("root").alias("part"))
-    members = components(tried).join(parts, F.col("node") == F.col("_n"), "left").select("node", "root", F.coalesce("part", "node").alias("part"))
-    members = written(members.join(sets.groupBy("node").agg(F.max(F.octet_length("hashes")).alias("bytes")), "node"), "members")
+    whole = components(tried)
+    members = whole.join(parts, F.col("node") == F.col("_n"), "left").select("node", "root", F.coalesce("part", "node").alias("part"))
+    members = written(members.join(sets.groupBy("node").agg(F.max(F.octet_length("hashes")).alias("bytes")), "node"), "members", whole)
     tiles = F.greatest(F.ceil(F.count(F.lit(1)) / SET_TILE), F.ceil(F.sum("bytes") / SET_BYTES)).cast("int")
     mixed = written(members.groupBy("root").agg(F.min("part").alias("least"), F.max("part").alias("most"), tiles.alias("tiles")).where("least != most").select("root", "tiles"), "mixed")
     mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
@@ -565,7 +566,7 @@ def settled(tried: DataFrame, parts: DataFrame, sets: DataFrame, similarity: flo
         if held:
             yield done()
 
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long"), [members, mixed]
 
 
 def components_by_print(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -614,10 +615,13 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, s
     sets = shingle_sets(tried, docs, shingle)
     parts = components(alike(tried, sets, similarity))
     stars = parts.select(F.col("node").alias("u"), F.col("root").alias("v"))  # closed already, so that few steps are left
-    return components_by_print(prints.select("doc_id", "fp"), nodes.select("fp", "node"), stars.union(settled(tried, parts, sets, similarity)))
+    joining, read = settled(tried, parts, sets, similarity)
+    out = components_by_print(prints.select("doc_id", "fp"), nodes.select("fp", "node"), stars.union(joining))
+    drop(tried, sets, parts, *read)
+    return out
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that stay, all columns: of each group the smallest doc_id, and rows without a doc_id."""
-    gone = similar_groups(docs, **how).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = similar_groups(docs, **how).where("doc_id != component_id").select(F.col("doc_id").alias("__tl_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("__tl_gone"), "left_anti")
