@@ -58,8 +58,8 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it. Rows that repeat doc_id and text count as one row of their joint copies."""
     hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    sized = pick(docs, "doc_id", "source", "text").select("doc_id", "source", words_count(F.col("text")).alias("size"), hashed.alias("_th"))
-    taken = copies(written(sized, "sizes"), **how).groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_t")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_th", hashed)
-    joined = rows.join(taken, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_t"))).dropDuplicates(["_id", "_t"])
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    sized = pick(docs, "doc_id", "source", "text").select("doc_id", "source", words_count(F.col("text")).alias("size"), hashed.alias("__tl_th"))
+    taken = copies(written(sized, "sizes"), **how).groupBy(F.col("doc_id").alias("__tl_id"), F.col("__tl_th").alias("__tl_t")).agg(F.sum("copies").alias("__tl_copies")).where("__tl_copies > 0")
+    rows = docs.withColumn("__tl_th", hashed)
+    joined = rows.join(taken, rows["doc_id"].eqNullSafe(F.col("__tl_id")) & (F.col("__tl_th") == F.col("__tl_t"))).dropDuplicates(["__tl_id", "__tl_t"])
+    return joined.withColumn("__tl_copy", F.explode(F.sequence(F.lit(1), F.col("__tl_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
