@@ -24,6 +24,16 @@ def gap_state(seconds: Column, limit: float = 60) -> Column:
     return F.when(seconds.isNull(), "unknown").when(seconds <= limit, "ok").otherwise("warning")
 
 
+def daily_bytes(normalized: Column, rows: Column, span_seconds: Column) -> Column:
+    """Bytes a day at the measured rate, rounded up; NULL for samples under 1,000 rows or 300 seconds."""
+    return F.when((rows >= 1000) & (span_seconds >= 300) & (normalized > 0), F.ceil(rows / span_seconds * 86_400 * (normalized / rows)))
+
+
+def headroom_days(free: Column, daily: Column, floor: int = 3 * GIB) -> Column:
+    """Days until free space meets the floor, with two decimals."""
+    return F.when(daily > 0, F.round(F.greatest(free - floor, F.lit(0)) / daily, 2))
+
+
 def days_to_threshold(database_bytes: Column, span_seconds: Column, free: Column, floor: int = 3 * GIB, least_span: int = 86_400) -> Column:
     growth = F.when(span_seconds >= least_span, database_bytes / (span_seconds / 86_400))
     return F.when(growth > 0, F.greatest(free - floor, F.lit(0)) / growth)
@@ -77,6 +87,13 @@ def window_flags(status: Column) -> tuple[Column, Column]:
     return status.isin("completed_quarantined", "skipped_quarantined"), status.isin("completed_admissible", "skipped_verified")
 
 
+def checked_status(status: Column, quarantined: Column, admission: Column) -> Column:
+    """The status, or an error where the window's own flags say the opposite of it; flags that are missing say nothing."""
+    held, let = window_flags(status)
+    against = ((held & (~quarantined | admission)) | (let & (quarantined | ~admission)))
+    return F.when(F.coalesce(against, F.lit(False)), F.raise_error(F.concat(F.lit("window flags contradict the status "), status))).otherwise(status)
+
+
 def restart_state(first: str, second: str, age: Column) -> Column:
     """Two samples (struct columns with id, restarts, running, health, started_at) and the second's age in seconds."""
     a, b = F.col(first), F.col(second)
@@ -107,7 +124,7 @@ def memory_pressure(first: str, second: str, least: int, most_swap: int, most_pr
 
 def storage_state(required: Column, configured: Column, exists: Column, writable: Column) -> Column:
     """required and configured: arrays of targets; exists and writable: of all required ones."""
-    return F.when(required.isNull() | configured.isNull(), "unknown").when(F.array_sort(required) != F.array_sort(configured), "inconsistent").when(F.size(required) == 0, "not_applicable").when(~exists, "missing").when(~writable, "not_writable").otherwise("ready")
+    return F.when(required.isNull() | configured.isNull(), "unknown").when(F.array_sort(required) != F.array_sort(configured), "inconsistent").when(F.size(required) == 0, "not_applicable").when(~exists, "required_path_missing").when(~writable, "required_path_unwritable").otherwise("ready")
 
 
 def contract_active(status: Column) -> Column:

@@ -20,6 +20,7 @@ CANDLE_VOLUME = ("quantity", "size", "amount", "volume", "qty", "q")
 SNAPSHOT = ("messageType", "type", "event", "action", "isSnapshot")
 SNAPSHOT_VALUES = ("snapshot", "initial", "full")
 BID, ASK = ("bidPrice", "bid_price", "bid"), ("askPrice", "ask_price", "ask")
+QUALITY_PRICE = ("price", "tradePrice", "trade_price", "markPrice", "mark_price", "p")
 FALLBACK_PRICE = ("markPrice", "mark_price", "price", "tradePrice")
 
 
@@ -66,7 +67,7 @@ def first_positive(numbers: list[Column]) -> Column:
 
 def price_for_quality(v: Column) -> tuple[Column, Column]:
     """Whether a price field is there, and its value if finite and above zero; true reads as 1."""
-    raw = present(v, ("price", "tradePrice", "trade_price", "p", "markPrice", "mark_price"), ROOT_DATA_TRADE)
+    raw = present(v, QUALITY_PRICE, ROOT_DATA_TRADE)
     value = F.when(kind(raw) == "BOOLEAN", F.try_variant_get(raw, "$", "boolean").cast("double")).otherwise(number(raw))
     return raw.isNotNull(), finite_positive(value)
 

@@ -62,7 +62,7 @@ def decide(row: DataFrame, need: Thresholds) -> DataFrame:
 
 def inconsistent(trades: DataFrame, headers: DataFrame, by: str, tolerance: float = 1e-8) -> DataFrame:
     """Reports whose trades don't add up, overlap in time, or whose totals differ from their header's."""
-    before = F.lag("exit_at").over(Window.partitionBy(by).orderBy("entry_at"))
+    before = F.lag("exit_at").over(Window.partitionBy(by).orderBy("entry_at", *[c for c in ("trade_id",) if c in trades.columns]))
     own = F.abs(F.col("net_pnl") - (F.col("gross_pnl") - F.col("fees") - F.col("funding") - F.col("slippage_and_latency"))) > tolerance
     checked = trades.withColumn("_bad", own | (F.col("exit_at") < F.col("entry_at")) | F.coalesce(before > F.col("entry_at"), F.lit(False)))
     sums = checked.groupBy(by).agg(F.sum("net_pnl").alias("_net"), F.bool_or("_bad").alias("_bad"))

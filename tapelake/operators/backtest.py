@@ -1,14 +1,16 @@
 """Baseline backtest: look-back and execution delay count rows, holding and cooldown count seconds.
 
-What each row would do (its look-back return, its execution row) is a window expression; only which candidates are
-taken depends on what went before, and that is folded per series over the slim candidate rows.
+What each row would do (its look-back return, its execution row, the row that would close it) is a window expression; only
+which candidates are taken depends on what went before, and that is walked over the candidates alone, in segments that
+don't depend on each other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,63 +31,81 @@ class Baseline:
     latency_bps: float = 0.5
 
 
-OUTCOMES = "series string, place long, outcome string, direction int, entry_at double, entry_price double, exit_at double, exit_price double"
-
-
 def candidates(candles: DataFrame, series: str, clock: str, close: str, how: Baseline) -> DataFrame:
+    """What each candle would do: its look-back return, the candle at which it would be executed, and `able`, whether it may open a position."""
     w = Window.partitionBy(series).orderBy(clock)
     seconds = F.col(clock).cast("timestamp").cast("double")
     old = F.lag(close, how.lookback).over(w)
     ahead = F.lead(F.struct(seconds.alias("at"), F.col(close).alias("price")), how.delay).over(w)
-    return candles.select(
+    rows = candles.select(
         F.col(series).cast("string").alias("series"), F.row_number().over(w).cast("long").alias("place"), seconds.alias("at"), F.col(close).cast("double").alias("close"),
         ((F.col(close) / old - 1) * 10_000).alias("bps"), old.isNotNull().alias("history"), ahead["at"].alias("run_at"), ahead["price"].cast("double").alias("run_price"),
     )
+    return rows.withColumn("able", F.coalesce(F.col("history") & (F.abs("bps") >= how.threshold_bps) & F.col("run_at").isNotNull(), F.lit(False)))
+
+
+def exits(rows: DataFrame, how: Baseline) -> DataFrame:
+    """The candles that may open a position, with the candle that would close it: the first one `holding_s` after its execution, NULL if there is none.
+
+    Candles and wanted times go through one sort, latest first, and each time takes the last candle that it has seen.
+    """
+    candle = rows.select("series", F.col("at").alias("key"), F.lit(0).alias("kind"), F.struct(F.col("place").alias("out_place"), F.col("at").alias("out_at"), F.col("close").alias("out_price")).alias("out"), F.lit(None).cast("struct<place:bigint,at:double,bps:double,run_at:double,run_price:double>").alias("row"))
+    wanted = rows.where("able").select("series", (F.col("run_at") + how.holding_s).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(candle.schema["out"].dataType).alias("out"), F.struct("place", "at", "bps", "run_at", "run_price").alias("row"))
+    back = Window.partitionBy("series").orderBy(F.col("key").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = candle.unionByName(wanted).withColumn("out", F.last("out", ignorenulls=True).over(back))
+    return found.where("kind = 1").select("series", "row.*", "out.*")
+
 
+def chosen(able: DataFrame, how: Baseline) -> DataFrame:
+    """Which candidates open a position: each needs the one before closed and cooled down.
 
-def _walk(frame: pd.DataFrame, how: Baseline) -> pd.DataFrame:
-    frame = frame.sort_values("place")
-    out: list[tuple] = []
-    held, free_at = None, None
-    name = frame["series"].iloc[0]
-
-    def close(at: float, price: float, place: int) -> None:
-        out.append((name, place, "trade", held[0], held[1], held[2], at, price))
-
-    for r in frame.itertuples(index=False):
-        skip = None
-        if held is not None:
-            if r.at - held[1] < how.holding_s:
-                skip = "position_open"
-            else:
-                close(r.at, r.close, r.place)
-                held, free_at = None, r.at
-        if skip is None:
-            if not r.history:
-                skip = "insufficient_history"
-            elif free_at is not None and r.at - free_at < how.cooldown_s:
-                skip = "cooldown"
-            elif abs(r.bps) < how.threshold_bps:
-                skip = "below_threshold"
-            elif pd.isna(r.run_at):
-                skip = "execution_delay_out_of_range"
-            else:
-                held = (1 if r.bps > 0 else -1, r.run_at, r.run_price)
-                out.append((name, r.place, "signal", held[0], held[1], held[2], None, None))
-        if skip:
-            out.append((name, r.place, skip, None, None, None, None, None))
-    if held is not None:
-        last = frame.iloc[-1]
-        if last["at"] > held[1]:
-            close(float(last["at"]), float(last["close"]), int(last["place"]))
-        else:
-            out.append((name, int(last["place"]), "unclosed_at_end", None, None, None, None, None))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in OUTCOMES.split(", ")])
+    A later candidate closes no earlier, so wherever the candidate before is done in time, whatever was chosen before is: there
+    a new segment begins. Segments are walked apart, as rows stream by in order, with one time in memory.
+    """
+    w = Window.partitionBy("series").orderBy("place")
+    free = F.when(F.col("out_at").isNull(), F.lit(float("inf"))).otherwise(F.col("out_at") + how.cooldown_s)
+    new = F.coalesce(F.lag(free).over(w) <= F.col("at"), F.lit(True))
+    cut = able.withColumn("_new", new.cast("long")).withColumn("_segment", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, out_at = None, None
+        for batch in batches:
+            keep = []
+            for name, segment, at, out in zip(*(batch.column(c).to_pylist() for c in ("series", "_segment", "at", "out_at")), strict=True):
+                first = (name, segment) != held
+                keep.append(first or (out_at is not None and at >= out_at and at - out_at >= how.cooldown_s))
+                if keep[-1]:
+                    held, out_at = (name, segment), out
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return cut.repartition("series", "_segment").sortWithinPartitions("series", "_segment", "place").mapInArrow(walk, cut.schema).drop("_segment")
 
 
 def outcomes(candles: DataFrame, series: str, clock: str, close: str, how: Baseline) -> DataFrame:
-    """One row a skipped candle (its reason), signal or closed trade. Series are independent tasks."""
-    return candidates(candles, series, clock, close, how).groupBy("series").applyInPandas(lambda f: _walk(f, how), OUTCOMES)
+    """One row a skipped candle (its reason), signal or closed trade; only the choice among candidates is a walk, all else windows."""
+    c = F.col
+    rows = candidates(candles, series, clock, close, how)
+    taken = chosen(exits(rows, how), how)
+    marks = taken.select("series", "place", F.struct("out_place", "out_at").alias("mine"))
+    w = Window.partitionBy("series").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.join(marks, ["series", "place"], "left").withColumn("before", F.last("mine", ignorenulls=True).over(w))
+    reason = (
+        F.when(c("mine").isNotNull(), "signal").when(c("before").isNotNull() & (c("before.out_place").isNull() | (c("place") < c("before.out_place"))), "position_open").when(~c("history"), "insufficient_history")
+        .when(c("at") - c("before.out_at") < how.cooldown_s, "cooldown").when(F.abs("bps") < how.threshold_bps, "below_threshold").otherwise("execution_delay_out_of_range")
+    )
+    signed = [F.when(c("bps") > 0, 1).otherwise(-1).alias("direction"), c("run_at").alias("entry_at"), c("run_price").alias("entry_price")]
+    none = F.lit(None).cast("double")
+    signal = c("mine").isNotNull()
+    plain = seen.select("series", "place", reason.alias("outcome"), *[F.when(signal, x).alias(n) for x, n in zip(signed, ("direction", "entry_at", "entry_price"), strict=True)], none.alias("exit_at"), none.alias("exit_price"))
+    last = rows.groupBy("series").agg(F.max_by(F.struct(c("place").alias("last_place"), c("at").alias("last_at"), c("close").alias("last_price")), "place").alias("l")).select("series", "l.*")
+    ends = taken.select("series", *signed, "out_place", "out_at", "out_price").join(last, "series")
+    done = c("out_place").isNotNull() | (c("last_at") > c("entry_at"))
+    value = lambda x, kind: F.when(done, x).cast(kind)
+    closed = ends.select(
+        "series", F.coalesce("out_place", "last_place").alias("place"), F.when(done, "trade").otherwise("unclosed_at_end").alias("outcome"), value(c("direction"), "int").alias("direction"), value(c("entry_at"), "double").alias("entry_at"),
+        value(c("entry_price"), "double").alias("entry_price"), value(F.coalesce("out_at", "last_at"), "double").alias("exit_at"), value(F.coalesce("out_price", "last_price"), "double").alias("exit_price"),
+    )
+    return plain.unionByName(closed)
 
 
 def trades(found: DataFrame, how: Baseline) -> DataFrame:

@@ -28,25 +28,75 @@ def file_order(df: DataFrame, name: str = "row_index") -> DataFrame:
     return df.select("*", F.col("_metadata.row_index").alias(name), F.col("_metadata.file_path").alias("file_path"))
 
 
-def violations(df: DataFrame, by: list[str], order: list[str], clock: str) -> Column:
-    """Window column: 1 where the clock falls below that of the row before; equal clocks are in order."""
-    before = F.lag(clock).over(Window.partitionBy(*by).orderBy(*order))
-    return F.coalesce((before > F.col(clock)).cast("int"), F.lit(0))
-
-
-def gaps(by: list[str], order: list[str], clock: str) -> Column:
-    """Window column: seconds since the row before, where the clock did not fall."""
-    before = F.lag(clock).over(Window.partitionBy(*by).orderBy(*order))
-    seconds = (F.col(clock).cast("timestamp").cast("double") - before.cast("timestamp").cast("double"))
-    return F.when(before <= F.col(clock), seconds)
-
-
-def sequence_anomalies(df: DataFrame, by: list[str], order: list[str], seq: str, snapshot: Column) -> DataFrame:
-    """Rows with a sequence plus `anomaly`: not one more than the row before's, unless a snapshot starts anew."""
-    before = F.lag(seq).over(Window.partitionBy(*by).orderBy(*order))
-    return df.where(F.col(seq).isNotNull()).withColumn("anomaly", (~snapshot & before.isNotNull() & (F.col(seq) != before + 1)).cast("int"))
-
-
-def jumps(by: list[str], order: list[str], price: str, percent: float) -> Column:
-    before = F.lag(price).over(Window.partitionBy(*by).orderBy(*order))
-    return F.coalesce((F.abs(F.col(price) / before - 1) * 100 >= percent).cast("int"), F.lit(0))
+def previous(df: DataFrame, by: list[str], order: list[str], values: dict[str, Column], chunk: Column | None = None) -> DataFrame:
+    """df plus, for each named value, the last one that is not null among the earlier rows of its `by` along `order`.
+
+    `chunk`, which never falls along `order` (an id divided by a size, a day), splits a busy group: chunks are sorted in tasks
+    of their own, and what a chunk starts from comes from a table of one row a chunk.
+    """
+    part = [*by, "_chunk"]
+    rows = df.withColumns({f"_of_{n}": v for n, v in values.items()} | {"_chunk": F.lit(0) if chunk is None else chunk})
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumns({n: F.last(f"_of_{n}", ignorenulls=True).over(inside) for n in values})
+    if chunk is not None:
+        at = F.struct(*order)
+        ends = rows.groupBy(*part).agg(*[F.max_by(f"_of_{n}", F.when(F.col(f"_of_{n}").isNotNull(), at)).alias(f"_of_{n}") for n in values])
+        before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ends.select(*[F.col(c).alias(f"_at_{c}") for c in part], *[F.last(f"_of_{n}", ignorenulls=True).over(before).alias(f"_start_{n}") for n in values])
+        same = F.lit(True)
+        for c in part:
+            same = same & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+        found = found.join(starts, same, "left").withColumns({n: F.coalesce(n, f"_start_{n}") for n in values})
+    return found.select(*df.columns, *values)
+
+
+def running(df: DataFrame, by: list[str], order: list[str], name: str, value: Column, chunk: Column | None = None) -> DataFrame:
+    """df plus the sum of `value` over the rows of its `by` up to this one along `order`; chunks as in `previous`."""
+    part = [*by, "_chunk"]
+    rows = df.withColumns({"_add": value, "_chunk": F.lit(0) if chunk is None else chunk})
+    found = rows.withColumn(name, F.sum("_add").over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    if chunk is not None:
+        before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.groupBy(*part).agg(F.sum("_add").alias("_add")).select(*[F.col(c).alias(f"_at_{c}") for c in part], F.coalesce(F.sum("_add").over(before), F.lit(0)).alias("_start"))
+        same = F.lit(True)
+        for c in part:
+            same = same & F.col(c).eqNullSafe(F.col(f"_at_{c}"))
+        found = found.join(starts, same, "left").withColumn(name, F.col(name) + F.col("_start"))
+    return found.select(*df.columns, name)
+
+
+def fell(before: Column, clock: Column) -> Column:
+    """1 where the clock is below the one before; equal clocks are in order."""
+    return F.coalesce((before > clock).cast("int"), F.lit(0))
+
+
+def seconds_since(before: Column, clock: Column) -> Column:
+    """Seconds from the clock before, where the clock did not fall."""
+    return F.when(before <= clock, clock.cast("timestamp").cast("double") - before.cast("timestamp").cast("double"))
+
+
+def broken(before: Column, seq: Column, snapshot: Column) -> Column:
+    """1 where a sequence is not one more than the one before, unless a snapshot starts anew; rows without one are passed over."""
+    return F.coalesce((~snapshot & (seq != before + 1)).cast("int"), F.lit(0))
+
+
+def jumped(before: Column, price: Column, percent: float) -> Column:
+    return F.coalesce((F.abs(price / before - 1) * 100 >= percent).cast("int"), F.lit(0))
+
+
+def sequence_anomalies(df: DataFrame, by: list[str], order: list[str], seq: str, snapshot: Column, chunk: Column | None = None) -> DataFrame:
+    """Rows with a sequence plus `anomaly`."""
+    known = previous(df.where(F.col(seq).isNotNull()), by, order, {"_before": F.col(seq)}, chunk)
+    return known.withColumn("anomaly", broken(F.col("_before"), F.col(seq), snapshot)).drop("_before")
+
+
+def repeated_candles(candles: DataFrame, by: list[str], clock: str) -> DataFrame:
+    """Keys and clocks that stand more than once: candles of a series must rise strictly."""
+    return candles.groupBy(*by, clock).count().where("count > 1")
+
+
+def require_strict(candles: DataFrame, by: list[str], clock: str) -> DataFrame:
+    """The candles in order of their series and clock; raises if one stands twice."""
+    if not repeated_candles(candles, by, clock).isEmpty():
+        raise ValueError("candles repeat a timestamp")
+    return candles.orderBy(*by, clock)

@@ -7,6 +7,7 @@ the symbol or connection, event_type the topic, value the price and props.k the
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tapelake.functions import classify, extract, text
 from tapelake.operators import admission, archive, backtest, candles, joins, normalize, operations, orderbook, paper, planning, quality, signals
 from tapelake.operators import ordering
+from tapelake.sources import tape
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +46,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
+def chunk(name: str, rows: int = 1_000_000):
+    """Parts of an id's range, so that a busy group is many tasks."""
+    return F.floor(F.col(name) / rows)
+
+
 def tape_of(df: DataFrame, kind: str | None = None) -> DataFrame:
     """events under the tape's names: id, received_at, exchange_at, symbol, event_type, value."""
     rows = df.where(F.col("event_type") == kind) if kind else df
@@ -83,8 +90,9 @@ def q_status(spark, sf_dir):
 
 @query("SELECT event_id, ts, user_id, value FROM events WHERE event_type IN ('purchase', 'view') AND ts >= TIMESTAMP '2024-01-02' ORDER BY ts, event_id LIMIT 1000")
 def q_replay_scan(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "view") & (F.col("ts") >= F.lit("2024-01-02").cast("timestamp_ntz")))
-    return rows.select("event_id", "ts", "user_id", "value").orderBy("ts", "event_id").limit(1000)
+    rows = table(spark, sf_dir, "events").withColumnsRenamed({"event_id": "id", "ts": "received_at"}).withColumn("received_at", F.col("received_at").cast("timestamp"))
+    found = tape.replay(rows, 1000, start=datetime(2024, 1, 2, tzinfo=timezone.utc), types=["purchase", "view"])
+    return found.select(F.col("id").alias("event_id"), F.col("received_at").alias("ts"), "user_id", "value")
 
 
 @query("SELECT event_id, ts, event_type FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 50) ORDER BY ts, event_id")
@@ -95,24 +103,24 @@ def q_recent_topn(spark, sf_dir):
 @query("""SELECT user_id, count(*) AS events, coalesce(sum(CASE WHEN p > ts THEN 1 END), 0)::BIGINT AS disorder, round(coalesce(max(CASE WHEN p <= ts THEN epoch(ts) - epoch(p) END), 0), 3) AS largest_gap_s
     FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) GROUP BY user_id""")
 def q_receipt_gaps(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    rows = rows.withColumn("bad", ordering.violations(rows, ["user_id"], ["event_id"], "ts")).withColumn("gap", ordering.gaps(["user_id"], ["event_id"], "ts"))
-    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.sum("bad").alias("disorder"), F.round(F.coalesce(F.max("gap"), F.lit(0.0)), 3).alias("largest_gap_s"))
+    rows = ordering.previous(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"], ["event_id"], {"before": F.col("ts")})
+    bad, gap = ordering.fell(F.col("before"), F.col("ts")), ordering.seconds_since(F.col("before"), F.col("ts"))
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.sum(bad).alias("disorder"), F.round(F.coalesce(F.max(gap), F.lit(0.0)), 3).alias("largest_gap_s"))
 
 
 @query(f"""SELECT event_type, count(*) AS events, sum((p > x)::INT)::BIGINT AS disorder FROM (SELECT *, lag(x) OVER (PARTITION BY event_type ORDER BY event_id) AS p
-    FROM (SELECT *, ts - to_minutes({K}) AS x FROM events)) GROUP BY event_type""")
+    FROM (SELECT *, ts - to_minutes({K}) AS x FROM events) WHERE {K} % 9 <> 0) GROUP BY event_type""")
 def q_exchange_order(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumn("x", F.expr("ts - make_interval(0, 0, 0, 0, 0, cast(k as int), 0)"))
-    rows = rows.withColumn("bad", ordering.violations(rows, ["event_type"], ["event_id"], "x"))
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("bad").alias("disorder"))
+    rows = events(spark, sf_dir).withColumn("x", F.when(F.col("k") % 9 != 0, F.expr("ts - make_interval(0, 0, 0, 0, 0, cast(k as int), 0)")))  # without an exchange time: left out
+    rows = ordering.previous(rows.select("event_id", "event_type", "x"), ["event_type"], ["event_id"], {"before": F.col("x")}, chunk("event_id"))
+    return rows.groupBy("event_type").agg(F.count("x").alias("events"), F.sum(ordering.fell(F.col("before"), F.col("x"))).alias("disorder"))
 
 
 @query(f"""SELECT event_type, count(*) AS rows, sum((k % 10 <> 0 AND p IS NOT NULL AND k <> p + 1)::INT)::BIGINT AS anomalies
     FROM (SELECT *, lag(k) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM (SELECT *, {K} AS k FROM events) WHERE k IS NOT NULL) GROUP BY event_type""")
 def q_sequence_anomalies(spark, sf_dir):
     rows = events(spark, sf_dir)
-    found = ordering.sequence_anomalies(rows, ["event_type"], ["event_id"], "k", F.col("k") % 10 == 0)
+    found = ordering.sequence_anomalies(rows.select("event_id", "event_type", "k"), ["event_type"], ["event_id"], "k", F.col("k") % 10 == 0, chunk("event_id"))
     return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("anomaly").alias("anomalies"))
 
 
@@ -126,8 +134,10 @@ def q_sequence_availability(spark, sf_dir):
 
 @query("""SELECT event_type, sum((abs(value / p - 1) * 100 >= 50)::INT)::BIGINT AS jumps FROM (SELECT *, lag(value) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events WHERE value > 0) GROUP BY event_type""")
 def q_price_jumps(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("value > 0")
-    return rows.withColumn("j", ordering.jumps(["event_type"], ["event_id"], "value", 50)).groupBy("event_type").agg(F.sum("j").alias("jumps"))
+    price = F.when(F.col("value") > 0, F.col("value"))  # rows without a valid price are left out
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", price.alias("price"))
+    rows = ordering.previous(rows, ["event_type"], ["event_id"], {"before": F.col("price")}, chunk("event_id"))
+    return rows.groupBy("event_type").agg(F.sum(ordering.jumped(F.col("before"), F.col("price"), 50)).alias("jumps"))
 
 
 @query("SELECT sum(n - 1)::BIGINT AS duplicate_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_suppkey, l_quantity, l_discount, l_returnflag)")
@@ -155,17 +165,34 @@ def q_malformed(spark, sf_dir):
     return both.groupBy("event_type").agg(F.count_if(quality.malformed(F.col("now"), "ts", ["event_type", "user_id"], "lat")).alias("malformed"))
 
 
-@query(f"""WITH e AS (SELECT *, {K} AS k, ts - INTERVAL 1 SECOND AS x FROM events), b AS (SELECT TIMESTAMP '2024-01-01' AS s, max(ts) AS t FROM events),
-    w AS (SELECT e.*, s, t, lag(ts) OVER o AS pr, lag(x) OVER o AS px, lag(value) OVER o AS pv, lag(k) OVER o AS pk FROM e, b WINDOW o AS (PARTITION BY event_type ORDER BY event_id)),
-    c AS (SELECT event_type, count(*) AS rows, coalesce(sum((pr > ts)::INT), 0)::BIGINT AS "order", coalesce(sum((px > x)::INT), 0)::BIGINT AS xorder, coalesce(sum((abs(value / nullif(pv, 0) - 1) * 100 >= 20)::INT), 0)::BIGINT AS jump,
-        coalesce(sum((k <> pk + 1)::INT), 0)::BIGINT AS seq, sum((ts < s OR ts >= t OR x < s - INTERVAL 5 SECOND OR x >= t + INTERVAL 5 SECOND)::INT)::BIGINT AS range,
-        sum(((x < s AND x >= s - INTERVAL 5 SECOND) OR (x >= t AND x < t + INTERVAL 5 SECOND))::INT)::BIGINT AS excursion, round(coalesce(max(CASE WHEN pr <= ts THEN epoch(ts) - epoch(pr) END), 0), 3) AS largest_gap_s, count(k) AS with_sequence FROM w GROUP BY event_type)
-    SELECT *, CASE WHEN "order" + xorder > 0 OR range > 0 THEN 'rejected' WHEN jump + seq > 0 OR largest_gap_s > 60 OR (with_sequence > 0 AND with_sequence < rows) THEN 'warning' ELSE 'pass' END AS status FROM c""")
+REPORT_SQL = f"""WITH e AS (SELECT event_id, 'd' || user_id % 8 AS dataset, event_type AS topic, ts AS r, {K} AS k, CASE WHEN {K} % 6 <> 0 THEN ts - to_seconds({K} % 9) END AS x, CASE WHEN {K} % 5 <> 0 THEN event_id // 3 END AS q,
+        {K} % 10 = 1 AS snap, CASE WHEN {K} % 7 <> 0 AND value > 0 THEN value END AS p, {K} % 7 <> 0 OR {K} % 2 = 0 AS priced, event_type = 'purchase' AS traded FROM events),
+    b AS (SELECT min(ts) + INTERVAL 2 SECOND AS s, max(ts) AS t FROM events),
+    ro AS (SELECT *, lag(r) OVER w AS pr FROM e WINDOW w AS (PARTITION BY dataset ORDER BY event_id)),
+    r1 AS (SELECT dataset, count(*) AS row_count, min(r) AS first_at, max(r) AS last_at, min(x) AS first_exchange_at, max(x) AS last_exchange_at, count(*) FILTER (CASE WHEN priced THEN p IS NULL ELSE traded END) AS invalid_prices,
+        coalesce(sum((pr > r)::INT), 0)::BIGINT AS receipt_order, count(*) FILTER (r < s OR r >= t) AS receipt_range, count(*) FILTER (x < s - INTERVAL 5 SECOND OR x >= t + INTERVAL 5 SECOND) AS exchange_range,
+        count(*) FILTER ((x < s AND x >= s - INTERVAL 5 SECOND) OR (x >= t AND x < t + INTERVAL 5 SECOND)) AS excursions, round(coalesce(max(CASE WHEN pr <= r THEN epoch(r) - epoch(pr) END), 0), 3) AS largest_gap_s, count(q) AS known FROM ro, b GROUP BY dataset),
+    xo AS (SELECT dataset, coalesce(sum((px > x)::INT), 0)::BIGINT AS exchange_order FROM (SELECT *, lag(x) OVER (PARTITION BY dataset, topic ORDER BY event_id) AS px FROM e WHERE x IS NOT NULL) GROUP BY dataset),
+    so AS (SELECT dataset, sum((NOT snap AND pq IS NOT NULL AND q <> pq + 1)::INT)::BIGINT AS n FROM (SELECT *, lag(q) OVER (PARTITION BY dataset, topic ORDER BY event_id) AS pq FROM e WHERE q IS NOT NULL) GROUP BY dataset),
+    jo AS (SELECT dataset, coalesce(sum((abs(p / pp - 1) * 100 >= 20)::INT), 0)::BIGINT AS jumps FROM (SELECT *, lag(p) OVER (PARTITION BY dataset ORDER BY event_id) AS pp FROM e WHERE p IS NOT NULL) GROUP BY dataset),
+    st AS (SELECT dataset, count(*) FILTER (0 < h AND h < n)::INT AS partial_streams FROM (SELECT dataset, topic, count(*) AS n, count(q) AS h FROM e GROUP BY ALL) GROUP BY dataset),
+    f AS (SELECT dataset, row_count, first_at, last_at, first_exchange_at, last_exchange_at, invalid_prices, receipt_order, exchange_order, receipt_range, exchange_range, excursions, CASE WHEN known > 0 THEN coalesce(so.n, 0) END AS sequence_anomalies, largest_gap_s, coalesce(jumps, 0) AS jumps,
+        0::BIGINT AS duplicates, partial_streams FROM r1 LEFT JOIN xo USING (dataset) LEFT JOIN so USING (dataset) LEFT JOIN jo USING (dataset) LEFT JOIN st USING (dataset))
+    SELECT *, CASE WHEN receipt_order + exchange_order + receipt_range + exchange_range > 0 THEN 'rejected' WHEN invalid_prices + sequence_anomalies + jumps > 0 OR largest_gap_s > 60 OR partial_streams > 0 THEN 'warning' ELSE 'pass' END AS status FROM f"""
+
+
+@query(REPORT_SQL)
 def q_quality_report(spark, sf_dir):
-    rows = events(spark, sf_dir).withColumn("x", F.expr("ts - INTERVAL 1 SECOND")).withColumn("value", F.nullif("value", F.lit(0.0)))
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("ts").alias("t"))))
-    out = quality.report(rows, ["event_type"], ["event_id"], received="ts", exchange="x", price="value", seq="k", start=F.lit("2024-01-01").cast("timestamp_ntz"), end=F.col("t"), tolerance_s=5, gap_s=60, jump_percent=20)
-    return out.withColumn("largest_gap_s", F.round("largest_gap_s", 3))
+    k = F.col("k")
+    rows = events(spark, sf_dir)
+    rows = rows.crossJoin(F.broadcast(rows.agg((F.min("ts") + F.expr("INTERVAL 2 SECONDS")).alias("s"), F.max("ts").alias("t"))))
+    rows = rows.select(
+        "event_id", F.concat(F.lit("d"), F.col("user_id") % 8).alias("dataset"), F.lit("s").alias("source"), F.col("event_type").alias("topic"), F.col("ts").alias("received_at"), "k", "value", "s", "t",
+        F.when(k % 6 != 0, F.expr("ts - make_interval(0, 0, 0, 0, 0, 0, k % 9)")).alias("exchange_at"), F.when(k % 5 != 0, F.floor(F.col("event_id") / 3)).alias("sequence"),
+    )
+    price = F.when((k % 7 != 0) & (F.col("value") > 0), F.col("value"))
+    out = quality.report(rows, ["event_id"], by=("dataset",), start=F.col("s"), end=F.col("t"), snapshot=k % 10 == 1, price=price, priced=(k % 7 != 0) | (k % 2 == 0), traded=F.col("topic") == "purchase", chunk=chunk("event_id"))
+    return out.drop("sequence_availability", "findings").withColumns({"largest_gap_s": F.round("largest_gap_s", 3), "partial_streams": F.size("partial_streams")})
 
 
 @query(f"""WITH p AS (SELECT *, avg(value) OVER w AS m, count(value) OVER w AS n FROM events WHERE event_type = 'view' AND value > 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
@@ -268,12 +295,12 @@ def q_window_plan(spark, sf_dir):
 
 @query(f"""WITH {PLAN_SQL}, q AS (SELECT *, CASE WHEN "index" % 7 = 3 THEN 'completed_quarantined' WHEN "index" % 5 = 1 THEN 'skipped_verified' ELSE 'completed_admissible' END AS status, lead(window_start) OVER (ORDER BY "index") AS nx FROM p)
     SELECT TRUE AS all_storage_complete, bool_and(coalesce(nx = window_end, TRUE)) AS boundary_continuity, FALSE AS failed_storage, bool_or(status = 'completed_quarantined') AS has_quarantined, TRUE AS checksums_valid, sum(expected_event_count)::BIGINT AS storage_event_total,
-    sum(expected_event_count) FILTER (status <> 'completed_quarantined')::BIGINT AS admissible_event_total, sum(expected_event_count) FILTER (status = 'completed_quarantined')::BIGINT AS quarantined_event_total, sum(expected_event_count)::BIGINT AS range_expected_event_count,
+    sum(expected_event_count) FILTER (status <> 'completed_quarantined')::BIGINT AS admissible_event_total, sum(expected_event_count) FILTER (status = 'completed_quarantined')::BIGINT AS quarantined_event_total, sum(expected_event_count)::BIGINT AS range_expected_event_count, TRUE AS unique_dataset_ids,
     bool_and(coalesce(nx = window_end, TRUE)) AS storage_coverage_continuous, FALSE AS admissible_coverage_continuous, 'pass' AS status FROM q""")
 def q_reconcile(spark, sf_dir):
-    plan = _plan(spark, sf_dir)
+    plan = _plan(spark, sf_dir).withColumn("dataset_id", F.concat(F.lit("d"), F.col("index")))
     i = F.col("index")
-    progress = plan.select("index", F.when(i % 7 == 3, "completed_quarantined").when(i % 5 == 1, "skipped_verified").otherwise("completed_admissible").alias("status"), F.col("expected_event_count").alias("event_count"), F.lit(True).alias("checksums_ok"))
+    progress = plan.select("index", F.when(i % 7 == 3, "completed_quarantined").when(i % 5 == 1, "skipped_verified").otherwise("completed_admissible").alias("status"), F.col("expected_event_count").alias("event_count"), F.col("expected_trade_count").alias("trade_count"), F.lit(True).alias("checksums_ok"))
     return planning.reconcile(plan, progress)
 
 
@@ -340,39 +367,51 @@ def q_idempotent_insert(spark, sf_dir):
     return joins.new_rows(rows.union(rows), rows.where("o_orderkey % 3 = 0"), ["o_orderkey"])
 
 
-@query("""SELECT o_orderkey, CASE WHEN s IS NULL THEN 'no_trades' WHEN abs(s - o_totalprice) <= 1000 THEN 'consistent' ELSE 'differs' END AS verdict FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount)) AS s FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+@query("""WITH t AS (SELECT l_orderkey AS r, l_linenumber AS n, l_extendedprice - l_tax AS net, l_extendedprice - CASE WHEN l_partkey % 50 = 0 THEN l_tax + 1 ELSE l_tax END AS want, l_shipdate AS entry_at, l_shipdate + to_hours(l_linenumber) AS exit_at FROM lineitem),
+    c AS (SELECT r, net, abs(net - want) > 0.01 OR exit_at < entry_at OR coalesce(lag(exit_at) OVER (PARTITION BY r ORDER BY entry_at, n) > entry_at, FALSE) AS bad FROM t), s AS (SELECT r, sum(net) AS net, bool_or(bad) AS bad FROM c GROUP BY r)
+    SELECT o_orderkey FROM orders LEFT JOIN s ON r = o_orderkey WHERE coalesce(bad, FALSE) OR abs(coalesce(net, 0) - CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE coalesce(net, 0) END) > 0.01""")
 def q_trade_consistency(spark, sf_dir):
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("s"))
-    rows = table(spark, sf_dir, "orders").join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return rows.select("o_orderkey", F.when(F.col("s").isNull(), "no_trades").when(F.abs(F.col("s") - F.col("o_totalprice")) <= 1000, "consistent").otherwise("differs").alias("verdict"))
+    zero = F.lit(0.0)
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("trade_id"), (F.col("l_extendedprice") - F.col("l_tax")).alias("net_pnl"), F.col("l_extendedprice").alias("gross_pnl"),
+        (F.col("l_tax") + F.when(F.col("l_partkey") % 50 == 0, 1.0).otherwise(0.0)).alias("fees"), zero.alias("funding"), zero.alias("slippage_and_latency"), F.col("l_shipdate").alias("entry_at"), F.expr("l_shipdate + make_interval(0, 0, 0, 0, l_linenumber)").alias("exit_at"),
+    )
+    sums = rows.groupBy("o_orderkey").agg(F.sum("net_pnl").alias("net_pnl"))
+    headers = table(spark, sf_dir, "orders").select("o_orderkey").join(sums, "o_orderkey", "left").withColumn("net_pnl", F.when(F.col("o_orderkey") % 10 == 0, 0.0).otherwise(F.coalesce("net_pnl", zero)))
+    return admission.inconsistent(rows, headers, "o_orderkey", 0.01)
 
 
 DIGEST_SQL = "sha256(unhex(string_agg(printf('%016X', event_id), '' ORDER BY event_id)))"
 
 
-@query(f"SELECT event_type, count(*) AS row_count, min(event_id) AS min_id, max(event_id) AS max_id, {DIGEST_SQL} AS id_sha256 FROM events GROUP BY event_type")
+@query(f"SELECT event_type, event_id // 10000 AS part, count(*) AS row_count, min(event_id) AS min_id, max(event_id) AS max_id, {DIGEST_SQL} AS id_sha256 FROM events GROUP BY ALL")
 def q_id_digest(spark, sf_dir):
-    return archive.chunk_digests(table(spark, sf_dir, "events"), ["event_type"], "event_id")
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", archive.part("event_id").alias("part"))
+    return archive.chunk_digests(rows, ["event_type", "part"], "event_id")
 
 
-@query(f"WITH c AS (SELECT event_type, date_trunc('day', ts) AS d, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi, {DIGEST_SQL} AS h FROM events GROUP BY ALL) SELECT event_type, sum(n)::BIGINT AS row_count, min(lo) AS min_id, max(hi) AS max_id, sha256(string_agg(h, '' ORDER BY lo)) AS chunks_sha256 FROM c GROUP BY event_type")
+@query(f"WITH c AS (SELECT event_type, date_trunc('day', ts) AS d, event_id // 10000 AS part, count(*) AS n, min(event_id) AS lo, max(event_id) AS hi, {DIGEST_SQL} AS h FROM events GROUP BY ALL) SELECT event_type, sum(n)::BIGINT AS row_count, min(lo) AS min_id, max(hi) AS max_id, sha256(string_agg(h, '' ORDER BY lo)) AS chunks_sha256 FROM c GROUP BY event_type")
 def q_day_digest(spark, sf_dir):
-    chunks = archive.chunk_digests(table(spark, sf_dir, "events").withColumn("d", F.date_trunc("day", "ts")), ["event_type", "d"], "event_id")
+    chunks = archive.chunk_digests(table(spark, sf_dir, "events").select("event_type", "event_id", F.date_trunc("day", "ts").alias("d"), archive.part("event_id").alias("part")), ["event_type", "d", "part"], "event_id")
     return archive.day_digest(chunks, ["event_type"])
 
 
-@query("SELECT event_type, CASE event_type WHEN 'purchase' THEN 'row_count_differs' ELSE 'missing' END AS problem FROM (SELECT DISTINCT event_type FROM events) WHERE event_type IN ('purchase', 'view')")
+@query("""SELECT event_type, part, CASE event_type WHEN 'purchase' THEN 'row_count_differs' ELSE 'missing' END AS problem FROM (SELECT event_type, event_id // 10000 AS part, count(*) FILTER (event_id % 97 = 1) AS lost FROM events GROUP BY ALL)
+    WHERE event_type = 'view' OR (event_type = 'purchase' AND lost > 0)""")
 def q_archive_verify(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    manifest = archive.chunk_digests(rows, ["event_type"], "event_id")
-    found = archive.chunk_digests(rows.where("event_type <> 'view' AND NOT (event_type = 'purchase' AND event_id % 97 = 1)"), ["event_type"], "event_id")
-    return archive.verify(manifest, found, ["event_type"])
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", archive.part("event_id").alias("part"))
+    manifest = archive.chunk_digests(rows, ["event_type", "part"], "event_id")
+    found = archive.chunk_digests(rows.where("event_type <> 'view' AND NOT (event_type = 'purchase' AND event_id % 97 = 1)"), ["event_type", "part"], "event_id")
+    return archive.verify(manifest, found, ["event_type", "part"])
 
 
-@query(r"""SELECT doc_id, length(r) AS redacted_chars, md5(r) AS redacted_md5 FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '(?i)(password|passwd|token|secret|api[_-]?key|authorization)\s*([=:])\s*[^\s,;]+', '\1\2[REDACTED]', 'g'), '(?i)\b(?:[a-z][a-z0-9+.-]*://)[^\s]+', '[REDACTED]', 'g') AS r FROM documents)""")
+@query(r"""SELECT doc_id, md5(coalesce(CASE WHEN starts_with(coalesce(text, ''), '  File ') OR t = '' OR starts_with(t, 'Traceback') THEN NULL
+        ELSE substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)(password|passwd|token|secret|api[_-]?key|authorization)\s*([=:])\s*[^\s,;]+', '\1\2[REDACTED]', 'g'), '(?i)\b(?:[a-z][a-z0-9+.-]*://)[^\s]+', '[REDACTED]', 'g'),
+            '(?:[A-Za-z]:\\|/)[^\s:]+', '[REDACTED]', 'g'), '(?i)\b(?:\d{1,3}\.){3}\d{1,3}\b|\b[a-z0-9][a-z0-9.-]*\.(?:com|net|org|io|dev|local|internal)\b', '[REDACTED]', 'g'), 1, 160) END, 'none')) AS line_md5
+    FROM (SELECT doc_id, text, trim(regexp_replace(coalesce(text, ''), '[\x00-\x1f\x7f]+', ' ', 'g'), ' ') AS t FROM documents)""")
 def q_redact(spark, sf_dir):
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), text.SECRET, "$1$2[REDACTED]"), text.URL, "[REDACTED]")
-    return table(spark, sf_dir, "documents").select("doc_id", F.char_length(clean).alias("redacted_chars"), F.md5(clean.cast("binary")).alias("redacted_md5"))
+    clean = text.sanitize_line(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(clean, F.lit("none")).cast("binary")).alias("line_md5"))
 
 
 @query("SELECT o_orderkey, lower(replace('ETH/USDT-P', '/', '-')) || '_' || strftime(o_orderdate, '%Y%m%dT%H%M%S%fZ') || '_' || strftime(o_orderdate + INTERVAL 1 HOUR, '%Y%m%dT%H%M%S%fZ') || '_v2' AS dataset_id FROM orders")
@@ -383,8 +422,6 @@ def q_dataset_id(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS rows FROM events GROUP BY event_type")
 def q_counts_by_type(spark, sf_dir):
-    from tapelake.sources import tape
-
     return tape.counts_by(table(spark, sf_dir, "events"), "event_type")
 
 

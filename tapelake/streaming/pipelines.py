@@ -50,21 +50,24 @@ def candle_stream(raw: DataFrame, lateness: str = "10 seconds") -> DataFrame:
 
 
 def book_stream(events: DataFrame, use_local_sequence: bool = True) -> DataFrame:
-    """State after each order-book event; a symbol's book (tens of levels) is its state."""
+    """State after each order-book event; a symbol's ladder (tens of levels) is its state."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        book = orderbook.Book(use_local_sequence)
+        ladder = orderbook.Ladder()
         if state.exists:
-            connection, bids, asks, label, valid, exchange, local = state.get
-            book = orderbook.Book(use_local_sequence, connection, {r[0]: r[1] for r in bids}, {r[0]: r[1] for r in asks}, label, valid, exchange, local)
-        every = pd.concat(list(frames)).sort_values(["received_at", "raw_event_id"])
+            connection, bids, asks, grade, fault, exchange, local = state.get
+            ladder = orderbook.Ladder(connection, (dict(map(tuple, bids)), dict(map(tuple, asks))), grade, fault, (exchange, local))
         out = []
-        for e in every.itertuples(index=False):
-            seen = book.step(e.message_type, e.connection_id, orderbook._plain(e.exchange_sequence), orderbook._plain(e.local_sequence), e.raw_schema_version == 1, e.bids, e.asks)
-            out.append((key[0], e.raw_event_id, *seen))
-        state.update((book.connection, list(book.bids.items()), list(book.asks.items()), book.label, book.valid, book.exchange, book.local))
+        for e in pd.concat(list(frames)).sort_values(["received_at", "raw_event_id"]).to_dict("records"):
+            event = {k: None if k not in ("bids", "asks") and pd.isna(v) else v for k, v in e.items()}
+            event |= {k: None if event[k] is None else int(event[k]) for k in ("exchange_sequence", "local_sequence")}
+            event |= {k: [] if event[k] is None else list(event[k]) for k in ("bids", "asks")}
+            ladder = orderbook.after(ladder, event, use_local_sequence)
+            out.append((key[0], e["raw_event_id"], *ladder.seen()))
+        state.update((ladder.connection, *(list(side.items()) for side in ladder.sides), ladder.grade, ladder.fault, *ladder.numbers))
         yield pd.DataFrame(out, columns=list(schemas.BOOK_STATE_NAMES))
 
     level = f"array<struct<price:{schemas.DEC},quantity:{schemas.DEC}>>"
-    kept = f"connection string, bids {level}, asks {level}, label string, valid boolean, exchange long, local long"
-    return events.groupBy("symbol").applyInPandasWithState(step, schemas.BOOK_STATES, kept, "append", GroupStateTimeout.NoTimeout)
+    kept = f"connection string, bids {level}, asks {level}, grade string, fault string, exchange long, local long"
+    graded = events.withColumn("grade", orderbook.grades(events))
+    return graded.groupBy("symbol").applyInPandasWithState(step, schemas.BOOK_STATES, kept, "append", GroupStateTimeout.NoTimeout)
