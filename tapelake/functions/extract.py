@@ -61,8 +61,8 @@ def valid_number(v: Column, names: tuple[str, ...], layers: tuple[str, ...] = RO
 
 
 def first_positive(numbers: list[Column]) -> Column:
-    """One array and one filter, so that each number is in the generated code once."""
-    return F.get(F.filter(F.array(*numbers), lambda d: ~F.isnan(d) & (d > 0)), 0)
+    """Numbers are looked up one after the other until one is above zero; each is in the generated code once."""
+    return F.coalesce(*[F.get(F.filter(F.array(n), lambda d: ~F.isnan(d) & (d > 0)), 0) for n in numbers])
 
 
 def price_for_quality(v: Column) -> tuple[Column, Column]:

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapelake.operators import signals
@@ -49,10 +49,13 @@ def exits(rows: DataFrame, how: Baseline) -> DataFrame:
 
     Candles and wanted times go through one sort, latest first, and each time takes the last candle that it has seen.
     """
-    candle = rows.select("series", F.col("at").alias("key"), F.lit(0).alias("kind"), F.struct(F.col("place").alias("out_place"), F.col("at").alias("out_at"), F.col("close").alias("out_price")).alias("out"), F.lit(None).cast("struct<place:bigint,at:double,bps:double,run_at:double,run_price:double>").alias("row"))
-    wanted = rows.where("able").select("series", (F.col("run_at") + how.holding_s).alias("key"), F.lit(1).alias("kind"), F.lit(None).cast(candle.schema["out"].dataType).alias("out"), F.struct("place", "at", "bps", "run_at", "run_price").alias("row"))
+    price = F.struct(F.col("place").alias("out_place"), F.col("at").alias("out_at"), F.col("close").alias("out_price"))
+    own = F.struct("place", "at", "bps", "run_at", "run_price")
+    candle = F.struct(F.col("at").alias("key"), F.lit(0).alias("kind"), price.alias("out"), F.when(F.lit(False), own).alias("row"))
+    wanted = F.when(F.col("able"), F.struct((F.col("run_at") + how.holding_s).alias("key"), F.lit(1).alias("kind"), F.when(F.lit(False), price).alias("out"), own.alias("row")))
+    both = rows.select("series", F.explode(F.array_compact(F.array(candle, wanted))).alias("e")).select("series", "e.*")
     back = Window.partitionBy("series").orderBy(F.col("key").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = candle.unionByName(wanted).withColumn("out", F.last("out", ignorenulls=True).over(back))
+    found = both.withColumn("out", F.last("out", ignorenulls=True).over(back))
     return found.where("kind = 1").select("series", "row.*", "out.*")
 
 
@@ -86,41 +89,48 @@ def outcomes(candles: DataFrame, series: str, clock: str, close: str, how: Basel
     c = F.col
     rows = candidates(candles, series, clock, close, how)
     taken = chosen(exits(rows, how), how)
-    marks = taken.select("series", "place", F.struct("out_place", "out_at").alias("mine"))
-    w = Window.partitionBy("series").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.join(marks, ["series", "place"], "left").withColumn("before", F.last("mine", ignorenulls=True).over(w))
+    marks = taken.select("series", "place", F.struct("out_place", "out_at", "out_price").alias("mine"))
+    w = Window.partitionBy("series").orderBy("place")
+    seen = rows.join(marks, ["series", "place"], "left").withColumn("before", F.last("mine", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    seen = seen.withColumn("last", F.last(F.struct("place", "at", "close")).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    signal = c("mine").isNotNull()
     reason = (
-        F.when(c("mine").isNotNull(), "signal").when(c("before").isNotNull() & (c("before.out_place").isNull() | (c("place") < c("before.out_place"))), "position_open").when(~c("history"), "insufficient_history")
+        F.when(signal, "signal").when(c("before").isNotNull() & (c("before.out_place").isNull() | (c("place") < c("before.out_place"))), "position_open").when(~c("history"), "insufficient_history")
         .when(c("at") - c("before.out_at") < how.cooldown_s, "cooldown").when(F.abs("bps") < how.threshold_bps, "below_threshold").otherwise("execution_delay_out_of_range")
     )
-    signed = [F.when(c("bps") > 0, 1).otherwise(-1).alias("direction"), c("run_at").alias("entry_at"), c("run_price").alias("entry_price")]
-    none = F.lit(None).cast("double")
-    signal = c("mine").isNotNull()
-    plain = seen.select("series", "place", reason.alias("outcome"), *[F.when(signal, x).alias(n) for x, n in zip(signed, ("direction", "entry_at", "entry_price"), strict=True)], none.alias("exit_at"), none.alias("exit_price"))
-    last = rows.groupBy("series").agg(F.max_by(F.struct(c("place").alias("last_place"), c("at").alias("last_at"), c("close").alias("last_price")), "place").alias("l")).select("series", "l.*")
-    ends = taken.select("series", *signed, "out_place", "out_at", "out_price").join(last, "series")
-    done = c("out_place").isNotNull() | (c("last_at") > c("entry_at"))
-    value = lambda x, kind: F.when(done, x).cast(kind)
-    closed = ends.select(
-        "series", F.coalesce("out_place", "last_place").alias("place"), F.when(done, "trade").otherwise("unclosed_at_end").alias("outcome"), value(c("direction"), "int").alias("direction"), value(c("entry_at"), "double").alias("entry_at"),
-        value(c("entry_price"), "double").alias("entry_price"), value(F.coalesce("out_at", "last_at"), "double").alias("exit_at"), value(F.coalesce("out_price", "last_price"), "double").alias("exit_price"),
-    )
-    return plain.unionByName(closed)
+    done = signal & (c("mine.out_place").isNotNull() | (c("last.at") > c("run_at")))
 
+    def outcome(place, name, opened, ended) -> Column:
+        entry = [F.when(opened, x).alias(n) for x, n in ((F.when(c("bps") > 0, 1).otherwise(-1), "direction"), (c("run_at"), "entry_at"), (c("run_price"), "entry_price"))]
+        exit_ = [F.when(ended, F.coalesce(f"mine.out_{x}", f"last.{y}")).alias(f"exit_{x}") for x, y in (("at", "at"), ("price", "close"))]
+        return F.struct(place.alias("place"), name.alias("outcome"), *entry, *exit_)
 
-def trades(found: DataFrame, how: Baseline) -> DataFrame:
+    own = outcome(c("place"), reason, signal, F.lit(False))
+    closing = F.when(signal, outcome(F.coalesce("mine.out_place", "last.place"), F.when(done, "trade").otherwise("unclosed_at_end"), done, done))
+    return seen.select("series", F.explode(F.array_compact(F.array(own, closing))).alias("o")).select("series", "o.*")
+
+
+def costs(how: Baseline) -> dict[str, Column]:
     c = F.col
-    costs = signals.trade_costs(c("direction"), c("entry_price"), c("exit_price"), c("exit_at") - c("entry_at"), how.notional, how.fee_rate, how.funding_8h, how.slippage_bps, how.latency_bps)
-    return found.where("outcome = 'trade'").withColumns(costs)
+    return signals.trade_costs(c("direction"), c("entry_price"), c("exit_price"), c("exit_at") - c("entry_at"), how.notional, how.fee_rate, how.funding_8h, how.slippage_bps, how.latency_bps)
+
+
+def trades(found: DataFrame, how: Baseline) -> DataFrame:
+    return found.where("outcome = 'trade'").withColumns(costs(how))
 
 
 def report(found: DataFrame, how: Baseline) -> DataFrame:
-    """One row a series: counts of signals, exits and skips, sums of results and costs, win rate, drawdown, mean holding."""
-    done = trades(found, how)
-    sums = done.groupBy("series").agg(*[F.sum(n).alias(n) for n in ("gross_pnl", "fees", "funding", "slippage_and_latency", "net_pnl")], F.avg((F.col("net_pnl") > 0).cast("double")).alias("win_rate"), F.avg(F.col("exit_at") - F.col("entry_at")).alias("average_holding_s"), F.count(F.lit(1)).alias("exits"))
-    counts = found.groupBy("series").agg(F.count_if(F.col("outcome") == "signal").alias("signals"))
-    fall = signals.drawdown(done, ["series"], ["exit_at"], "net_pnl")
-    return counts.join(sums, "series", "left").join(fall, "series", "left").na.fill(0)
+    """One row a series: counts of signals and exits, sums of results and costs, win rate, drawdown, mean holding. One pass over the outcomes."""
+    trade = F.col("outcome") == "trade"
+    rows = found.withColumns({n: F.when(trade, x) for n, x in costs(how).items()})
+    w = Window.partitionBy("series").orderBy("exit_at", "place").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_equity", F.sum("net_pnl").over(w))
+    rows = rows.withColumn("_fall", F.greatest(F.lit(0.0), F.max("_equity").over(w)) - F.col("_equity"))
+    sums = [F.sum(n).alias(n) for n in ("gross_pnl", "fees", "funding", "slippage_and_latency", "net_pnl")]
+    return rows.groupBy("series").agg(
+        F.count_if(F.col("outcome") == "signal").alias("signals"), *sums, F.avg(F.when(trade, (F.col("net_pnl") > 0).cast("double"))).alias("win_rate"),
+        F.avg(F.when(trade, F.col("exit_at") - F.col("entry_at"))).alias("average_holding_s"), F.count_if(trade).alias("exits"), F.max("_fall").alias("maximum_drawdown"),
+    ).na.fill(0)
 
 
 def configuration(how: Baseline) -> dict:

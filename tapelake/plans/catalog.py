@@ -240,18 +240,41 @@ def q_trade_costs(spark, sf_dir):
     return rows.select("o_orderkey", *[F.round(x, 6).alias(n) for n, x in costs.items()])
 
 
-@query()
+WALK_SQL = """h AS (SELECT {series} AS series, date_trunc('hour', ts) AS t, arg_max(value, event_id) AS close FROM events WHERE value > 0 {only} GROUP BY ALL),
+    r AS (SELECT series, t, epoch(t) AS sec, close, row_number() OVER w AS place, lag(close, 3) OVER w AS old, lead(epoch(t)) OVER w AS run_at, lead(close) OVER w AS run_price FROM h WINDOW w AS (PARTITION BY series ORDER BY t)),
+    b AS (SELECT *, (close / old - 1) * 10000 AS bps FROM r), m AS (SELECT * FROM b WHERE old IS NOT NULL AND abs(bps) >= 1000 AND run_at IS NOT NULL),
+    x AS (SELECT m.*, o.sec AS out_at, o.place AS out_place, o.close AS out_price FROM m ASOF LEFT JOIN b o ON m.series = o.series AND o.sec >= m.run_at + 7200),
+    n AS (SELECT x.*, f.place AS next FROM x ASOF LEFT JOIN m f ON x.series = f.series AND f.sec >= x.out_at + 3600),
+    k AS (SELECT series, place, next FROM n QUALIFY row_number() OVER (PARTITION BY series ORDER BY place) = 1 UNION ALL SELECT n.series, n.place, n.next FROM k JOIN n ON n.series = k.series AND n.place = k.next),
+    l AS (SELECT series, max(place) AS last_place, max(sec) AS last_at, arg_max(close, place) AS last_close FROM b GROUP BY series),
+    s AS (SELECT n.*, CASE WHEN bps > 0 THEN 1 ELSE -1 END AS direction, last_at, last_close, out_place IS NOT NULL OR last_at > run_at AS done FROM n JOIN k ON n.series = k.series AND n.place = k.place JOIN l ON n.series = l.series)"""
+HOW = backtest.Baseline(lookback=3, delay=1, threshold_bps=1000, holding_s=7200, cooldown_s=3600)
+
+
+def _bars(spark, sf_dir, kind=None):
+    rows = tape_of(events(spark, sf_dir), kind).withColumn("symbol", F.col("event_type"))
+    return candles.candles(rows, extract.finite_positive(F.col("value")), F.col("k").cast("double"), "hour")
+
+
+@query("WITH RECURSIVE " + WALK_SQL.format(series="event_type", only="AND event_type = 'purchase'") + """,
+    c AS (SELECT *, direction * (1000 / run_price) * (coalesce(out_price, last_close) - run_price) AS gross, (1000 + 1000 / run_price * coalesce(out_price, last_close)) AS turned, coalesce(out_at, last_at) - run_at AS held, coalesce(out_at, last_at) AS e FROM s),
+    d AS (SELECT *, turned * 0.0005 AS fee, 1000 * 0.0001 * greatest(0, held) / 28800 AS fund, turned / 10000 + turned * 0.5 / 10000 AS slip FROM c), p AS (SELECT *, gross - fee - fund - slip AS net FROM d),
+    q AS (SELECT *, sum(net) OVER (PARTITION BY series, done ORDER BY e) AS eq FROM p), u AS (SELECT *, greatest(0, max(eq) OVER (PARTITION BY series, done ORDER BY e)) - eq AS fall FROM q)
+    SELECT series, count(*) AS signals, round(sum(gross) FILTER (done), 6) AS gross_pnl, round(sum(fee) FILTER (done), 6) AS fees, round(sum(fund) FILTER (done), 6) AS funding, round(sum(slip) FILTER (done), 6) AS slippage_and_latency, round(sum(net) FILTER (done), 6) AS net_pnl,
+        round(avg((net > 0)::INT) FILTER (done), 6) AS win_rate, round(avg(held) FILTER (done), 6) AS average_holding_s, count(*) FILTER (done) AS exits, round(max(fall) FILTER (done), 6) AS maximum_drawdown FROM u GROUP BY series""")
 def q_backtest(spark, sf_dir):
-    bars = candles.candles(tape_of(events(spark, sf_dir), "purchase").withColumn("symbol", F.col("event_type")), extract.finite_positive(F.col("value")), F.col("k").cast("double"), "hour")
-    how = backtest.Baseline(lookback=3, delay=1, threshold_bps=1000, holding_s=7200, cooldown_s=3600)
-    return backtest.report(backtest.outcomes(bars, "symbol", "timestamp", "close", how), how)
+    out = backtest.report(backtest.outcomes(_bars(spark, sf_dir, "purchase"), "symbol", "timestamp", "close", HOW), HOW)
+    return out.select(*[F.round(n, 6).alias(n) if kind == "double" else F.col(n) for n, kind in out.dtypes])
 
 
-@query()
+@query("WITH RECURSIVE " + WALK_SQL.format(series="event_type", only="") + """,
+    g AS (SELECT b.*, s.place AS own, last_value(s.place IGNORE NULLS) OVER w AS lp, last_value(CASE WHEN s.place IS NOT NULL THEN coalesce(s.out_place, 1000000000) END IGNORE NULLS) OVER w AS op, last_value(CASE WHEN s.place IS NOT NULL THEN coalesce(s.out_at, 1e18) END IGNORE NULLS) OVER w AS oa
+        FROM b LEFT JOIN s ON b.series = s.series AND b.place = s.place WINDOW w AS (PARTITION BY b.series ORDER BY b.place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    z AS (SELECT series, CASE WHEN own IS NOT NULL THEN 'signal' WHEN lp IS NOT NULL AND place < op THEN 'position_open' WHEN old IS NULL THEN 'insufficient_history' WHEN sec - oa < 3600 THEN 'cooldown' WHEN abs(bps) < 1000 THEN 'below_threshold' ELSE 'execution_delay_out_of_range' END AS outcome FROM g
+        UNION ALL SELECT series, CASE WHEN done THEN 'trade' ELSE 'unclosed_at_end' END FROM s)
+    SELECT series, outcome, count(*) AS "count" FROM z GROUP BY ALL""")
 def q_backtest_skips(spark, sf_dir):
-    bars = candles.candles(tape_of(events(spark, sf_dir)).withColumn("symbol", F.col("event_type")), extract.finite_positive(F.col("value")), F.col("k").cast("double"), "hour")
-    how = backtest.Baseline(lookback=3, delay=1, threshold_bps=1000, holding_s=7200, cooldown_s=3600)
-    return backtest.outcomes(bars, "symbol", "timestamp", "close", how).groupBy("series", "outcome").count()
+    return backtest.outcomes(_bars(spark, sf_dir), "symbol", "timestamp", "close", HOW).groupBy("series", "outcome").count()
 
 
 ASOF_SQL = """WITH l AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'), r AS (SELECT event_id AS rid, user_id, ts AS matched_at, value AS quote FROM events WHERE event_type = 'view')
@@ -442,7 +465,8 @@ def q_newest_records(spark, sf_dir):
 def _book_events(spark, sf_dir):
     """lineitem as book events: suppliers are symbols, each line moves one level on a side; every 40th is a snapshot."""
     d = lambda c, n: c.cast("decimal(38,18)").alias(n)
-    li = table(spark, sf_dir, "lineitem").withColumn("rid", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity"))  # one event a number
+    li = li.withColumn("rid", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     level = lambda p, q: F.array(F.struct(d(p, "price"), d(q, "quantity")))
     bid, ask = level(F.lit(100) - F.col("l_quantity") % 7, F.col("l_linenumber") % 4), level(F.lit(101) + F.col("l_quantity") % 5, F.col("l_linenumber") % 3)
     snap = F.col("rid") % 40 < 10
@@ -452,15 +476,62 @@ def _book_events(spark, sf_dir):
     )
 
 
-@query()
-def q_book_fold(spark, sf_dir):
-    return orderbook.histogram(orderbook.reconstruct(_book_events(spark, sf_dir), ["raw_event_id"]))
+def _ladder_sql() -> str:
+    """Levels of the synthetic books as a column a price: prices are few, so that no fold is needed."""
+    bids, asks = range(94, 101), range(101, 106)
+    cell = lambda side, p: f"last_value(CASE WHEN snap THEN CASE WHEN {p} = {99 if side == 'b' else 102} THEN 1 ELSE 0 END WHEN {side}p = {p} THEN {side}q END IGNORE NULLS) OVER w AS {side}{p}"
+    cells = ", ".join([*(cell("b", p) for p in bids), *(cell("a", p) for p in asks)])
+    best = lambda side, prices, least: f"{'least' if least else 'greatest'}({', '.join(f'CASE WHEN {side}{p} > 0 THEN {p} END' for p in prices)})"
+    count = " + ".join([*(f"coalesce(b{p} > 0, FALSE)::INT" for p in bids), *(f"coalesce(a{p} > 0, FALSE)::INT" for p in asks)])
+    return f"""e AS (SELECT l_suppkey::VARCHAR AS symbol, l_orderkey * 10 + l_linenumber AS rid, (l_orderkey * 10 + l_linenumber) % 40 < 10 AS snap, 100 - l_quantity % 7 AS bp, l_linenumber % 4 AS bq, 101 + l_quantity % 5 AS ap, l_linenumber % 3 AS aq
+        FROM (SELECT l_suppkey, l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
+    g AS (SELECT *, sum(snap::INT) OVER (PARTITION BY symbol ORDER BY rid) AS seg FROM e),
+    c AS (SELECT symbol, rid, seg, {cells} FROM g WINDOW w AS (PARTITION BY symbol, seg ORDER BY rid ROWS UNBOUNDED PRECEDING)),
+    t AS (SELECT symbol, rid, seg, {best('b', bids, False)} AS bid, {best('a', asks, True)} AS ask, {count} AS levels FROM c),
+    f AS (SELECT *, bool_or(coalesce(bid >= ask, TRUE)) OVER (PARTITION BY symbol, seg ORDER BY rid) AS broken FROM t),
+    s AS (SELECT symbol, rid, CASE WHEN seg = 0 THEN 'invalid_waiting_snapshot' WHEN broken THEN 'invalid_crossed' ELSE 'valid_sequence_unverified' END AS state, CASE WHEN seg > 0 AND NOT broken THEN bid END AS bid, CASE WHEN seg > 0 AND NOT broken THEN ask END AS ask,
+        CASE WHEN seg > 0 AND NOT broken THEN levels ELSE 0 END AS levels FROM f)"""
 
 
-@query()
+BOOK_SQL = _ladder_sql()
+
+
+@query(f"WITH {BOOK_SQL} SELECT symbol, state, count(*) AS \"count\" FROM s GROUP BY ALL")
+def q_book_fold(spark, sf_dir):
+    return orderbook.histogram(orderbook.reconstruct(_book_events(spark, sf_dir), ["raw_event_id"], chunk=chunk("raw_event_id")))
+
+
+@query(f"WITH {BOOK_SQL} SELECT symbol, arg_max(state, rid) AS state, count(bid) AS quoted, sum(bid)::BIGINT AS bids, sum(ask)::BIGINT AS asks, sum(levels)::BIGINT AS levels FROM s GROUP BY symbol")
+def q_book_states(spark, sf_dir):
+    states = orderbook.reconstruct(_book_events(spark, sf_dir), ["raw_event_id"])
+    sums = states.groupBy("symbol").agg(F.count("best_bid").alias("quoted"), F.sum("best_bid").cast("long").alias("bids"), F.sum("best_ask").cast("long").alias("asks"), F.sum("level_count").cast("long").alias("levels"))
+    return orderbook.final_state(states).join(sums, "symbol")
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS symbol, epoch(ts) AS sec, event_id AS id, CASE WHEN event_type = 'purchase' THEN value END AS m, CASE WHEN event_type <> 'purchase' THEN value END AS b FROM events WHERE value > 0),
+    k AS (SELECT symbol, sec, id, last_value(m IGNORE NULLS) OVER w AS mark, last_value(b IGNORE NULLS) OVER w AS bid FROM e WINDOW w AS (PARTITION BY symbol ORDER BY sec, id ROWS UNBOUNDED PRECEDING)),
+    t AS (SELECT *, bid * 1.001 AS ask, row_number() OVER o AS n, (avg(mark) OVER (PARTITION BY symbol ORDER BY sec, id ROWS 1 PRECEDING) / avg(mark) OVER (PARTITION BY symbol ORDER BY sec, id ROWS 4 PRECEDING) - 1) * 10000 AS edge FROM k WHERE mark IS NOT NULL AND bid IS NOT NULL WINDOW o AS (PARTITION BY symbol ORDER BY sec, id)),
+    p AS (SELECT *, lag(now, 1, 0) OVER o AS was FROM (SELECT *, CASE WHEN n >= 5 AND edge > 2 THEN 1 WHEN n >= 5 AND edge < -2 THEN -1 ELSE 0 END AS now FROM t) WINDOW o AS (PARTITION BY symbol ORDER BY sec, id)),
+    h AS (SELECT *, last_value(CASE WHEN now <> was THEN CASE now WHEN 1 THEN ask * 1.0001 WHEN -1 THEN bid * 0.9999 ELSE 0 END END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY sec, id ROWS UNBOUNDED PRECEDING) AS held FROM p),
+    g AS (SELECT *, lag(held) OVER (PARTITION BY symbol ORDER BY sec, id) AS had, CASE was WHEN 1 THEN bid * 0.9999 WHEN -1 THEN ask * 1.0001 END AS out, CASE now WHEN 1 THEN bid * 0.9999 WHEN -1 THEN ask * 1.0001 END AS leave FROM h),
+    c AS (SELECT *, now <> was AND was <> 0 AS closing, now <> was AND now <> 0 AS opening, CASE WHEN now <> was AND was <> 0 THEN was * 1000 / had * (out - had) ELSE 0 END AS gain,
+        CASE WHEN now <> was AND was <> 0 THEN 1000 / had * out * 0.00045 ELSE 0 END + CASE WHEN now <> was AND now <> 0 THEN 0.45 ELSE 0 END AS fee FROM g),
+    q AS (SELECT *, 10000 + sum(gain - fee) OVER (PARTITION BY symbol ORDER BY sec, id) + CASE WHEN now <> 0 THEN now * 1000 / held * (mark - held) ELSE 0 END AS equity, 10000 + sum(gain - fee) OVER (PARTITION BY symbol ORDER BY sec, id) AS cash FROM c),
+    f AS (SELECT *, equity <= greatest(10000, max(equity) OVER w) * 0.9 AS hit, greatest(10000, max(equity) OVER w) AS peak FROM q WINDOW w AS (PARTITION BY symbol ORDER BY sec, id)),
+    v AS (SELECT *, coalesce(bool_or(hit) OVER (PARTITION BY symbol ORDER BY sec, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), FALSE) AS over, row_number() OVER (PARTITION BY symbol ORDER BY sec DESC, id DESC) = 1 AS final FROM f),
+    l AS (SELECT *, NOT over AND now <> 0 AND (hit OR final) AS leaving, now * 1000 / nullif(held, 0) * (leave - held) AS gain2, 1000 / nullif(held, 0) * leave * 0.00045 AS fee2 FROM v),
+    y AS (SELECT *, last_value(CASE WHEN NOT over THEN CASE WHEN hit THEN cash + CASE WHEN now <> 0 THEN gain2 - fee2 ELSE 0 END ELSE equity END END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY sec, id ROWS UNBOUNDED PRECEDING) AS curve FROM l),
+    z AS (SELECT *, curve / lag(curve) OVER (PARTITION BY symbol ORDER BY sec, id) - 1 AS step, 1 - curve / greatest(10000, max(curve) OVER (PARTITION BY symbol ORDER BY sec, id)) AS fall FROM y),
+    r AS (SELECT symbol, sum(gain) FILTER (NOT over) + coalesce(sum(gain2) FILTER (leaving), 0) AS gains, sum(fee) FILTER (NOT over) + coalesce(sum(fee2) FILTER (leaving), 0) AS fees, count(*) FILTER (NOT over AND closing) + count(*) FILTER (NOT over AND opening) + count(*) FILTER (leaving) AS fills,
+        count(*) FILTER (NOT over AND gain <> 0) + count(*) FILTER (leaving AND gain2 <> 0) AS closed, count(*) FILTER (NOT over AND gain > 0) + count(*) FILTER (leaving AND gain2 > 0) AS wins, min(curve) AS low, max(peak) FILTER (NOT over) AS top, greatest(max(fall), 0) AS path,
+        CASE WHEN count(step) > 1 AND stddev_pop(step) > 0 THEN avg(step) / stddev_pop(step) * sqrt(count(step)) ELSE 0 END AS sharpe, bool_or(hit) AS halted FROM z GROUP BY symbol)
+    SELECT e.symbol, round(10000 + coalesce(gains - fees, 0), 6) AS final_equity, round(coalesce(gains - fees, 0), 6) AS net_pnl, round(coalesce(gains, 0), 6) AS realized_pnl, round(coalesce(fees, 0), 6) AS fees_paid, 0.0::DOUBLE AS funding_paid, coalesce(fills, 0)::BIGINT AS fills, coalesce(closed, 0)::BIGINT AS closed_trades,
+        round(CASE WHEN closed > 0 THEN wins / closed ELSE 0 END, 6) AS win_rate, round(1 - coalesce(low, 10000) / coalesce(top, 10000), 6) AS max_drawdown_fraction, round(coalesce(path, 0), 6) AS path_drawdown_fraction, round(coalesce(sharpe, 0), 6) AS sharpe, coalesce(halted, FALSE) AS halted, 0.0::DOUBLE AS open_position
+    FROM (SELECT DISTINCT symbol FROM e) e LEFT JOIN r USING (symbol)""")
 def q_paper(spark, sf_dir):
     v = F.col("value")
     t = F.col("event_type")
     payload = F.when(t == "purchase", F.to_json(F.struct(F.lit("mark_price").alias("topic"), v.alias("markPrice")))).otherwise(F.to_json(F.struct(F.lit("ask_bid_price").alias("topic"), v.alias("bidPrice"), (v * 1.001).alias("askPrice"))))
     rows = table(spark, sf_dir, "events").where("value > 0").select(F.col("user_id").cast("string").alias("symbol"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("received_at"), payload.alias("payload"))
-    return paper.simulate(paper.inputs(rows), paper.Paper(fast=2, slow=5))
+    out = paper.simulate(paper.inputs(rows), paper.Paper(fast=2, slow=5))
+    return out.select(*[F.round(n, 6).alias(n) if kind == "double" else F.col(n) for n, kind in out.dtypes])
