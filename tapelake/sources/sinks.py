@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tapelake.operators import joins
 
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("compression", "zstd").parquet(path)
@@ -34,7 +36,7 @@ def archive(df: DataFrame, path: str, clock: str = "received_at", rows_a_part: i
 
 
 def json_lines(df: DataFrame, path: str, order: list[str]) -> None:
-    df.orderBy(*order).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    df.orderBy(*order).select(F.to_json(F.struct("*"), {"timestampFormat": MICROS}).alias("value")).write.text(path)
 
 
 def retained(df: DataFrame, cutoff, clock: str = "received_at") -> DataFrame:

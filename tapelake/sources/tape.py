@@ -59,7 +59,7 @@ def latest(df: DataFrame, count: int, clock: str = "received_at") -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Archived events as JSON lines, with an error if ids don't rise strictly along each file."""
-    df = spark.read.schema(schemas.MARKET_EVENTS).json(path).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    df = spark.read.schema(schemas.MARKET_EVENTS).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
     before = F.lag("id").over(Window.partitionBy("_file").orderBy("_at"))
     return df.withColumn("_ok", F.when(F.coalesce(before >= F.col("id"), F.lit(False)), F.raise_error(F.lit("ids don't rise")).cast("boolean")).otherwise(True)).where("_ok").drop("_file", "_at", "_ok")
 
