@@ -75,44 +75,46 @@ def _time_code(path: str, scale: float) -> Column:
     return F.when(~F.coalesce(numeric, F.lit(False)) | F.isnan(value) | (value < -62135596800) | (value >= 253402300800), "invalid_timestamp")
 
 
-def _levels(side: str) -> Column:
-    """array<string>: the JSON of each level, NULL if levels is no array."""
-    return F.from_json(_json(extract.at(_j(), f"$.data.{side}.levels")), "array<string>")
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df plus columns that are computed once a row: a generator of one row, through which no expression is copied."""
+    made = F.explode(F.array(F.struct(*[x.alias(n) for n, x in columns.items()]))).alias("_made")
+    return df.select("*", made).select(*df.columns, *[F.col(f"_made.{n}").alias(n) for n in columns])
 
 
-def _level_text(level: Column, name: str) -> Column:
-    return F.get_json_object(level, f"$.{name}")
+CLEAN_LEVEL = "OBJECT<price: STRING, quantity: STRING>"
 
 
-def _is_string(level: Column, name: str) -> Column:
-    # in compact JSON a string value starts with a quote
-    return level.rlike(f'"{name}":"')
+def _levels(side: str) -> Column:
+    """Each level's shape, and its price and quantity where these are decimal strings; NULL if levels is no array."""
+    levels = F.when(F.col("event_type") == "orderbook", F.try_variant_get(_j(), f"$.data.{side}.levels", "array<variant>"))
+    text = lambda x, name: F.when(extract.kind(extract.at(x, f"$.{name}")) == "STRING", F.try_variant_get(x, f"$.{name}", "string")).try_cast(DEC)
+    shape = lambda x: F.when(extract.kind(x) == CLEAN_LEVEL, True).otherwise(_keys_are(x, LEVEL_KEYS))
+    return F.transform(levels, lambda x: F.struct(shape(x).alias("whole"), text(x, "price").alias("price"), text(x, "quantity").alias("quantity")))
 
 
 def _side_code(side: str) -> Column:
-    levels = _levels(side)
-    prices = F.transform(levels, lambda x: _level_text(x, "price").try_cast(DEC))
+    """The first failing check of a side; levels in their order, the checks of each one too."""
+    prices = F.transform(F.col(f"_{side}"), lambda x: x["price"])
 
     def code(x: Column, k: Column) -> Column:
-        earlier = F.slice(prices, 1, k)
-        shape = F.when(~F.coalesce(F.array_sort(F.json_object_keys(x)) == F.array(*map(F.lit, LEVEL_KEYS)), F.lit(False)), "payload_contract")
-        twice = F.when(F.array_contains(earlier, _level_text(x, "price").try_cast(DEC)), "duplicate_level")
-        return F.coalesce(shape, _amount_code(_level_text(x, "price"), _is_string(x, "price")), twice, _amount_code(_level_text(x, "quantity"), _is_string(x, "quantity"), zero=True))
+        return (
+            F.when(~x["whole"], "payload_contract").when(x["price"].isNull(), "invalid_decimal").when(x["price"] <= 0, "impossible_value").when(F.array_position(prices, x["price"]) <= k, "duplicate_level")
+            .when(x["quantity"].isNull(), "invalid_decimal").when(x["quantity"] < 0, "impossible_value")
+        )
 
     v = extract.at(_j(), f"$.data.{side}")
-    first_bad = F.get(F.filter(F.transform(levels, code), lambda c: c.isNotNull()), 0)
+    first_bad = F.get(F.filter(F.transform(F.col(f"_{side}"), code), lambda c: c.isNotNull()), 0)
     return F.coalesce(
-        F.when(~_is_object(v) | ~_keys_are(v, SIDE_KEYS), "payload_contract"), _field_code(f"$.data.{side}.startPrice"), _field_code(f"$.data.{side}.endPrice"),
-        F.when(~F.coalesce(extract.kind(extract.at(v, "$.levels")).startswith("ARRAY"), F.lit(False)), "payload_contract"), first_bad,
+        F.when(~_is_object(v) | ~_keys_are(v, SIDE_KEYS), "payload_contract"), _field_code(f"$.data.{side}.startPrice"), _field_code(f"$.data.{side}.endPrice"), F.when(F.col(f"_{side}").isNull(), "payload_contract"), first_bad,
     )
 
 
 def _side(side: str) -> Column:
-    return F.transform(_levels(side), lambda x: F.struct(_level_text(x, "price").try_cast(DEC).alias("price"), _level_text(x, "quantity").try_cast(DEC).alias("quantity"))).cast(BOOK_SIDE)
+    return F.transform(F.col(f"_{side}"), lambda x: F.struct(x["price"], x["quantity"])).cast(BOOK_SIDE)
 
 
 def error_code() -> Column:
-    """The first failing check of an event (columns of MARKET_EVENTS and _j, the parsed payload), or NULL."""
+    """The first failing check of an event (columns of MARKET_EVENTS, _j, the parsed payload, and _bid and _ask, its levels), or NULL."""
     t = F.col("event_type")
     data = extract.at(_j(), "$.data")
     identity = F.when(F.col("id").isNull(), "missing_identity").when(F.col("received_at").isNull(), "invalid_timestamp")
@@ -129,12 +131,12 @@ def error_code() -> Column:
     kind = extract.at(_j(), "$.messageType")
     message = F.try_variant_get(kind, "$", "string")
     depth = extract.at(_j(), "$.depth")
-    best_bid, best_ask = F.array_max(F.transform(_side("bid"), lambda x: x["price"])), F.array_min(F.transform(_side("ask"), lambda x: x["price"]))
+    best_bid, best_ask = F.array_max(F.transform("_bid", lambda x: x["price"])), F.array_min(F.transform("_ask", lambda x: x["price"]))
     snapshot = message == "Snapshot"
     book = F.coalesce(
         F.when(~F.coalesce((extract.kind(kind) == "STRING") & message.isin("Snapshot", "Update"), F.lit(False)), "unknown_message_type"), F.when(~F.coalesce(extract.kind(depth) == "BIGINT", F.lit(False)), "payload_contract"),
         F.when(~F.try_variant_get(depth, "$", "bigint").between(1, 100), "impossible_value"), _time_code("$.timestamp_ms", 0.001), _field_code("$.granularity"), shape("orderbook"), _side_code("bid"), _side_code("ask"),
-        F.when(snapshot & ((F.size(_side("bid")) == 0) | (F.size(_side("ask")) == 0)), "invalid_snapshot"), F.when(snapshot & (best_bid >= best_ask), "crossed_book"), identity,
+        F.when(snapshot & ((F.size("_bid") == 0) | (F.size("_ask") == 0)), "invalid_snapshot"), F.when(snapshot & (best_bid >= best_ask), "crossed_book"), identity,
     )
     price = lambda name, k: F.coalesce(shape(k), identity, _field_code(f"$.data.{name}"))
     body = F.when(t == "ask_bid_price", quote).when(t == "mark_price", price("markPrice", "mark_price")).when(t == "spot_price", price("spotPrice", "spot_price")).when(t == "funding_rate_estimation", funding).when(t == "orderbook", book)
@@ -151,7 +153,9 @@ class Normalized:
 
 
 def checked(events: DataFrame) -> DataFrame:
-    return events.withColumn("_j", F.try_parse_json("payload")).withColumn("error_code", error_code())
+    """events plus _j, _bid, _ask and error_code, each computed once a row."""
+    parsed = _once(events, _j=F.try_parse_json("payload"))
+    return _once(_once(parsed, _bid=_levels("bid"), _ask=_levels("ask")), error_code=error_code())
 
 
 def normalize(events: DataFrame, skip_unsupported: bool = False) -> Normalized:
