@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapelake.llm.common import drop, pick, written
+from tapelake.llm.common import drop, pick, pieces, written
 from tapelake.llm.components import components
 
 SEED = 42
@@ -99,7 +99,7 @@ def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarr
     """The hashes of common shingles, rarer ones first, and about how many documents have each, from a sample of documents."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch.column("text"):
                 parts = list(shingle_hashes(text.as_py() or "", shingle))
                 if parts:
@@ -131,7 +131,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, distinct: bo
     common = common[rank]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sums, sizes = [], []
             held: list[np.ndarray] = []
             owner: list[int] = []
@@ -457,7 +457,7 @@ def shingle_sets(edges: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = []
             for text in batch.column("text"):
                 parts = list(shingle_hashes(text.as_py() or "", shingle))
@@ -480,7 +480,7 @@ def alike(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             keep = [jaccard(x, y) >= similarity for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
