@@ -37,7 +37,7 @@ def open_ends(edges: DataFrame) -> tuple[int, int]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for each node of edges (u, v); nodes without edges don't occur.
+    """node, root (the smallest node reachable) for each node of edges (u, v) that is no root itself; nodes without edges don't occur.
 
     Null ends and loops are no edges; repeated edges count once; no edges give no rows.
     """

@@ -539,7 +539,8 @@ def settled(tried: DataFrame, parts: DataFrame, sets: DataFrame, similarity: flo
     """
     parts = parts.select(F.col("node").alias("_n"), F.col("root").alias("part"))
     whole = components(tried)
-    members = whole.join(parts, F.col("node") == F.col("_n"), "left").select("node", "root", F.coalesce("part", "node").alias("part"))
+    every = whole.union(whole.select("root", "root").distinct())  # a component's root is a member too
+    members = every.join(parts, F.col("node") == F.col("_n"), "left").select("node", "root", F.coalesce("part", "node").alias("part"))
     members = written(members.join(sets.groupBy("node").agg(F.max(F.octet_length("hashes")).alias("bytes")), "node"), "members", whole)
     tiles = F.greatest(F.ceil(F.count(F.lit(1)) / SET_TILE), F.ceil(F.sum("bytes") / SET_BYTES)).cast("int")
     mixed = written(members.groupBy("root").agg(F.min("part").alias("least"), F.max("part").alias("most"), tiles.alias("tiles")).where("least != most").select("root", "tiles"), "mixed")

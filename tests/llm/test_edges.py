@@ -10,8 +10,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tapelake.llm import chat, exact_dedup, packing, passages, quality, queries, shards, suffixes, topk
-from tests.llm.test_llm import brute_bytes, brute_passages, docs
+from tapelake.llm import chat, components, exact_dedup, packing, passages, quality, queries, shards, simhash, suffixes, topk
+from tests.llm.test_llm import brute_bytes, brute_groups, brute_passages, docs
 
 
 def tables(spark, folder, **frames):
@@ -247,3 +247,30 @@ def test_packing_ids_follow_long_texts(spark):
     own = sorted((r.start, r.length) for r in got if r.doc_id == 1)
     assert [a for a, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1].tolist()] and sum(n for _, n in own) == own[-1][0] + own[-1][1]
     assert sum(r.length for r in got if r.doc_id == 2) == 2
+
+
+def test_roots_are_compared_too(spark):
+    """The least node of a candidate component is alike to one that the forest links through others."""
+    hashes = lambda *k: np.array(sorted(k), np.uint64).tobytes()
+    sets = spark.createDataFrame([(1, hashes(*range(10))), (2, hashes(*range(6, 16))), (3, hashes(*range(9), 99)), (7, hashes(*range(50, 60))), (8, hashes(70))], "node long, hashes binary")
+    tried = spark.createDataFrame([(2, 1), (3, 2), (8, 7)], "u long, v long")
+    parts = components.components(simhash.alike(tried, sets, 0.8))
+    joining, _ = simhash.settled(tried, parts, sets, 0.8)
+    assert [tuple(sorted(r)) for r in joining.collect()] == [(1, 3)]
+
+
+def test_near_groups_do_not_depend_on_partitions(spark):
+    rng = random.Random(21)
+    rows = []
+    for c in range(6):  # chains of copies around 0.8, so that most links are no direct candidates of the least document
+        text = [f"w{rng.randint(0, 9999)}" for _ in range(120)]
+        for k in range(25):
+            text = text.copy()
+            for _ in range(rng.randint(1, 3)):
+                text[rng.randrange(120)] = f"n{rng.randint(0, 9999)}"
+            rows.append((100 * c + rng.randrange(100), " ".join(text), "a"))
+    rows = list({i: (i, t, s) for i, t, s in rows}.values())
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t, _ in rows for w in [t.split()]}
+    want = brute_groups(list(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    for parts in (1, 3, 8):
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, rows, parts)).collect()} == want
