@@ -288,6 +288,37 @@ def test_roots_are_compared_too(spark):
     assert [tuple(sorted(r)) for r in joining.collect()] == [(1, 3)]
 
 
+def test_sets_are_compared_in_bit_planes(monkeypatch):
+    rng = np.random.default_rng(31)
+    n = np.r_[rng.integers(1, 400, 300), -rng.integers(321, 900, 200)]
+    n = np.repeat(n, 3) + 0
+    base = rng.integers(0, 2, (500, 256), dtype=np.uint8)
+    bits = np.repeat(base, 3, axis=0) ^ (rng.random((1500, 256)) < rng.choice([0.0, 0.02, 0.15, 0.2], (1500, 1)))
+    sketch = np.packbits(bits.astype(np.uint8), axis=1).view(simhash.U).reshape(-1, 4)
+    group = np.sort(np.r_[np.repeat(np.arange(240), 5), np.full(300, 1000)])
+    order = np.argsort(np.arange(1500) % 1200 // 300, kind="stable")  # groups mix neighbours of several bases
+    n, bits, sketch = n[order], bits[order], sketch[order]
+    seen, bare = [], simhash.near_at
+    monkeypatch.setattr(simhash, "near_at", lambda planes, d, valid, radius: seen.append(planes.shape[0]) or bare(planes, d, valid, radius))
+    got = simhash.near_sets(group, n, sketch, 67, 0.8)
+    assert set(seen) == {256}  # all pairs went through the planes
+    near = lambda i, j: group[i] == group[j] and min(abs(n[i]), abs(n[j])) >= 0.8 * max(abs(n[i]), abs(n[j])) - 1e-9 and (bits[i] != bits[j]).sum() <= (67 if n[i] < 0 else (abs(n[i]) + abs(n[j])) / 9 + 1e-9)
+    want = np.arange(1500)
+    for i in range(1500):
+        for j in range(i):
+            if group[i] == group[j] and want[i] != want[j] and near(j, i):
+                want[want == max(want[i], want[j])] = min(want[i], want[j])
+    assert np.array_equal(got, want) and len(np.unique(want)) < 1400
+
+
+def test_similar_groups_take_fingerprint_links(spark, monkeypatch):
+    taken, bare = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda nodes, radius, keys, lanes: taken.append((radius, lanes, nodes.count())) or bare(nodes, radius, keys, lanes))
+    rows = [(k, " ".join(f"w{k // 3}x{j}" for j in range(60 + k % 3)), "a") for k in range(30)]
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, rows)).collect()} == {k: k // 3 * 3 for k in range(30)}
+    assert taken == [(4, 1, 30)]
+
+
 def test_near_groups_do_not_depend_on_partitions(spark):
     rng = random.Random(21)
     rows = []
